@@ -19,8 +19,21 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.exact_dedup import exact_dedup
+
+    found = exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_exact_dedup": op2_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_dedup": r"""
+        with d as (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[ \t-\r]+', '', 'g') as norm from documents),
+        w as (select *, first_value(doc_id) over (partition by norm order by length(t) desc, doc_id) as keep_id, count(*) over (partition by norm) as group_size from d)
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from w""",
+}
