@@ -26,9 +26,17 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.warc import archive_round_trip
+    from sparkloom.plans.tables import new_path
+
+    return archive_round_trip(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
+    "op9_warc": op9_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -36,4 +44,13 @@ ORACLE_SQL: dict[str, str] = {
         with d as (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[ \t-\r]+', '', 'g') as norm from documents),
         w as (select *, first_value(doc_id) over (partition by norm order by length(t) desc, doc_id) as keep_id, count(*) over (partition by norm) as group_size from d)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from w""",
+    "op9_warc": r"""
+        with p as (select page_id, coalesce(html, '') as h from pages),
+        w as (select page_id, octet_length(encode(h)) as payload_bytes, sha1(h) as x, max(page_id) over (partition by h) as top from p)
+        select page_id, payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(
+                ((cast(('0x' || substr(x, 1 + 10 * (i // 8), 10)) as bigint) >> (35 - 5 * (i % 8))) & 31) as int), 1)), '') as payload_digest,
+            case when page_id = top then 'response' else 'revisit' end as record_type,
+            case when page_id = top then null else top end as refers_to
+        from w""",
 }
