@@ -16,12 +16,11 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.skew import lookup
 from sparkloom.plans.tables import drop_shuffles, materialize
 
 #: Salted groups of one digest.
 SALTS = 16
-#: A group with at least this share of all rows is joined from a broadcast table, which so has at most 1 / HOT rows.
-HOT = 1 / 1000
 _BIG = Decimal(2**64)
 _TOP = Decimal(2**63 - 1)
 
@@ -77,16 +76,10 @@ def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = documents.drop(*[c for c in documents.columns if c in added and c not in (id_col, text_col)])
     slim, collided = _groups(documents, id_col, text_col)
     total = slim.agg(F.sum("n")).first()[0] or 0
-    groups = slim.select(F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep"), F.col("n").alias("_n"))
-    is_hot = F.col("_n") >= F.lit(max(1000, int(total * HOT)))
-    # at most 1 / HOT groups are so large; their rows never meet in one task
-    hot = F.broadcast(groups.where(is_hot).select(F.col("_sha").alias("_hot_sha"), F.col("_keep").alias("_hot_keep"), F.col("_n").alias("_hot_n")))
+    groups = slim.select(F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep"), "n", F.col("n").alias("_n"))
     rows = base.withColumn("_norm", normalized(F.col(text_col))).withColumn("_sha256", F.sha2("_norm", 256)).drop("_norm")
-    rows = rows.join(hot, F.unhex("_sha256") == F.col("_hot_sha"), "left")
-    # rows of hot groups get a key of their own, which spreads them and meets nothing
-    key = F.when(F.col("_hot_sha").isNull(), F.unhex("_sha256")).otherwise(F.encode(F.concat(F.lit("-"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), "UTF-8"))
-    rows = rows.withColumn("_key", key).join(groups.where(~is_hot), F.col("_key") == F.col("_sha"), "left")
-    keep, n = F.coalesce("_hot_keep", "_keep"), F.coalesce("_hot_n", "_n")
+    rows = lookup(rows.withColumn("_sha", F.unhex("_sha256")), groups, "_sha", "n", total, id_col)
+    keep, n = F.col("_keep"), F.col("_n")
     if collided is not None:
         # several texts with one digest: these rows alone are joined on the whole text
         more = collided.select(F.col("sha").alias("_csha"), F.col("norm").alias("_cnorm"), F.col("keep_id").alias("_ckeep"), F.col("n").alias("_cn"))

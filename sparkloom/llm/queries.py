@@ -26,6 +26,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), radius=4, words=4)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.warc import archive_round_trip
     from sparkloom.plans.tables import new_path
@@ -36,6 +42,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
+    "op6_simhash": op6_simhash,
     "op9_warc": op9_warc,
 }
 
