@@ -26,6 +26,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.language_id import identify, train
+
+    documents = table(spark, sf_dir, "documents")
+    return identify(documents, train(documents))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.simhash import near_duplicates
 
@@ -48,6 +55,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_language_id": op3_language_id,
     "op6_simhash": op6_simhash,
     "op9_warc": op9_warc,
     "op10_license_scan": op10_license_scan,
