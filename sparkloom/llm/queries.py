@@ -39,6 +39,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), radius=4, words=4)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.html_text import learn, main_text
+
+    pages = table(spark, sf_dir, "pages")
+    return main_text(pages, learn(pages))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.warc import archive_round_trip
     from sparkloom.plans.tables import new_path
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
     "op6_simhash": op6_simhash,
+    "op7_html_text": op7_html_text,
     "op9_warc": op9_warc,
     "op10_license_scan": op10_license_scan,
 }
