@@ -46,6 +46,12 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(pages, learn(pages))
 
 
+def op8_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.pivot_index import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.warc import archive_round_trip
     from sparkloom.plans.tables import new_path
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op6_simhash": op6_simhash,
     "op7_html_text": op7_html_text,
+    "op8_pivot_index": op8_pivot_index,
     "op9_warc": op9_warc,
     "op10_license_scan": op10_license_scan,
 }
