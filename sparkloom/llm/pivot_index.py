@@ -29,7 +29,7 @@ from sparkloom.plans.tables import discard, drop_shuffles, materialize
 #: Pivots, and the size of the sample from which they are taken.
 PIVOTS, SAMPLE = 512, 4096
 #: Near pivots that describe a vector, and how many of them two candidates share.
-NEAREST, SHARED = 8, 2
+NEAREST, SHARED = 12, 2
 #: No two pivots have a larger cosine.
 APART = 0.8
 #: Points of a block.

@@ -33,6 +33,48 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents, train(documents))
 
 
+#: Production weights of the labelled domains.
+TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from sparkloom.llm.mixing import label_domain
+
+    return table(spark, sf_dir, "labels").select("doc_id", label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from sparkloom.llm.mixing import mix
+
+    found = mix(table(spark, sf_dir, "documents"), labelled(spark, sf_dir), TARGETS)
+    names = [F.col(f"p_{k}").alias(f"p_{d}") for k, d in enumerate(TARGETS)]
+    return found.select(F.col("_id").alias("doc_id"), "tokens", *names, "rate", "copies")
+
+
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load two tokenizer versions, load one again, revise its counts and withdraw texts of under 200 characters."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.llm.token_rollup import TokenLedger, deleted, inserted, revised, with_counts
+    from sparkloom.plans.tables import new_path
+
+    documents = table(spark, sf_dir, "documents")
+    ledger = TokenLedger(spark, new_path(spark, "token-ledger"))
+    ledger.commit("load-words-1", inserted(with_counts(documents, "words-1")))
+    ledger.commit("load-words-1", inserted(with_counts(documents, "words-1")))
+    ledger.commit("load-pieces-2", inserted(with_counts(documents, "pieces-2")))
+    # the revision counts a begin and an end token as well
+    both = with_counts(documents, "words-1").withColumnRenamed("n_tokens", "old_tokens").withColumn("n_tokens", F.col("old_tokens") + 2)
+    ledger.commit("revise-words-1", revised(both))
+    short = documents.where(F.coalesce(F.length("text"), F.lit(0)) < 200)
+    ledger.commit("withdraw-short", deleted(with_counts(short, "pieces-2")))
+    return ledger.totals()
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.simhash import near_duplicates
 
@@ -69,6 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
+    "op4_mixing": op4_mixing,
+    "op5_token_rollup": op5_token_rollup,
     "op6_simhash": op6_simhash,
     "op7_html_text": op7_html_text,
     "op8_pivot_index": op8_pivot_index,
@@ -81,6 +125,13 @@ ORACLE_SQL: dict[str, str] = {
         with d as (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[ \t-\r]+', '', 'g') as norm from documents),
         w as (select *, first_value(doc_id) over (partition by norm order by length(t) desc, doc_id) as keep_id, count(*) over (partition by norm) as group_size from d)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from w""",
+    "op5_token_rollup": r"""
+        with d as (select source, lang, length(coalesce(text, '')) as chars,
+            cast(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) as bigint) as words,
+            cast(len(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]')) as bigint) as pieces from documents),
+        u as (select source, lang, 'words-1' as tokenizer, 1 as n, words + 2 as t from d
+            union all select source, lang, 'pieces-2', 1, pieces from d where chars >= 200)
+        select source, lang, tokenizer, cast(sum(n) as bigint) as n_docs, cast(sum(t) as bigint) as n_tokens from u group by all""",
     "op9_warc": r"""
         with p as (select page_id, coalesce(html, '') as h from pages),
         w as (select page_id, octet_length(encode(h)) as payload_bytes, sha1(h) as x, max(page_id) over (partition by h) as top from p)
