@@ -1 +1 @@
-
+"""Column functions: names, signatures, sets, scores and text measures."""

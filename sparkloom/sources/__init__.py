@@ -1 +1 @@
-
+"""Sources of model tables: text lines, source trees, configuration."""
