@@ -94,3 +94,8 @@ def matches_filter(path: Column, wanted: list[str]) -> Column:
     for w in wanted:
         out = out | (path == w) | ((F.length(path) > len(w)) & path.endswith(w))
     return out
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """Half away from zero on the binary value scaled up, for x >= 0."""
+    return F.floor(x * float(10**digits) + 0.5) / float(10**digits)

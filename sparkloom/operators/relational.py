@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.scalars import package_of
+from sparkloom.functions.scalars import package_of, rounded
 
 
 def coupling(imports: DataFrame, packages: DataFrame, types: DataFrame | None = None) -> DataFrame:
@@ -30,7 +30,7 @@ def coupling(imports: DataFrame, packages: DataFrame, types: DataFrame | None =
         shares = types.groupBy("pkg").agg((F.count(F.when((F.col("kind") == "interface") & (F.size("methods") > 0), 1)) / F.count(F.lit(1))).alias("a"))
         rows = rows.join(shares, "pkg", "left").fillna(0.0, ["a"])
     i = F.when(F.col("ca") + F.col("ce") == 0, F.lit(0.0)).otherwise(F.col("ce") / (F.col("ca") + F.col("ce")))
-    return rows.select("pkg", "ca", "ce", F.round(i, 2).alias("instability"), F.round("a", 2).alias("abstractness"), F.round(F.abs(F.col("a") + i - 1), 2).alias("distance"))
+    return rows.select("pkg", "ca", "ce", rounded(i, 2).alias("instability"), rounded(F.col("a"), 2).alias("abstractness"), rounded(F.abs(F.col("a") + i - 1), 2).alias("distance"))
 
 
 def with_packages(calls: DataFrame, functions: DataFrame) -> DataFrame:
