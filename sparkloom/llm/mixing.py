@@ -9,12 +9,14 @@ gradient descent on the least squares of domain token totals,
 where T_d is the domain's expected total at rate 1. In the metric that weighs
 documents by their tokens any step below 2 is safe: the matrix of the quadratic form
 has rows that sum to one. A step moves r_i by STEP sum_d p_id (s_d - t_d) / T_d, so an
-iteration is one aggregation of a written table to one row, and rates are
-recomputed from the list of past steps rather than stored.
+iteration is one aggregation of a written table to one row. Rates are recomputed
+from the steps since they were last written, which is after every ``WRITE`` steps.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ VOCABULARY = 20_000
 FULL = 400
 #: Length of a step, rounds at most, and the relative error of every total at which the descent ends.
 STEP, ROUNDS, TOLERANCE = 1.7, 60, 2e-3
+#: Steps between two writings of the rates.
+WRITE = 6
 
 _RUNS = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]+|[!-/:-@\\[-`{-~]+"
 
@@ -47,20 +51,22 @@ def _tokens(text: Column) -> Column:
 
 def _feature(run: Column) -> Column:
     """Lower-cased run; words in capitals are one feature."""
-    return F.when(run.rlike("^[A-Z]{2,}$"), F.lit("<CAPITALS>")).otherwise(F.lower(run))
+    capitals = (F.length(run) >= 2) & (run == F.upper(run)) & (run != F.lower(run))
+    return F.when(capitals, F.lit("<CAPITALS>")).otherwise(F.lower(run))
 
 
-def classifier(documents: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = DOMAINS, id_col: str = "doc_id", text_col: str = "text", per_domain: int = PER_DOMAIN) -> DataFrame:
-    """Word weights ``feature, w_0, w_1, ...`` (at most ``VOCABULARY`` rows) from ``labelled`` (id, ``domain``).
+def classifier(documents: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = DOMAINS, id_col: str = "doc_id", text_col: str = "text", per_domain: int = PER_DOMAIN) -> tuple[DataFrame, list[float]]:
+    """Word weights ``feature, w_0, w_1, ...`` (at most ``VOCABULARY`` rows) from ``labelled`` (id, ``domain``), and log priors.
 
     Weights are log-likelihood ratios against the mean over domains, with one added to
-    counts. Every domain weighs the same, however many labels it has. Without labelled
-    documents there are no weights and posteriors are equal.
+    counts; every domain has the same say in them, however many labels it has. Priors
+    are the shares of all labels. Without labelled documents there are no weights and
+    posteriors are equal.
     """
     known = labelled.where(F.col("domain").isin(*domains)).select(F.col(id_col).alias("_id"), "domain")
     counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     if not counts:
-        return documents.sparkSession.createDataFrame([], "feature string, " + ", ".join(f"w_{k} double" for k in range(len(domains))))
+        return documents.sparkSession.createDataFrame([], "feature string, " + ", ".join(f"w_{k} double" for k in range(len(domains)))), [0.0] * len(domains)
     share = F.create_map(*[F.lit(x) for d, n in counts.items() for x in (d, min(1.0, per_domain / n))])[F.col("domain")]
     h = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
     # at most twice the documented number of rows, hence broadcast
@@ -72,19 +78,21 @@ def classifier(documents: DataFrame, labelled: DataFrame, domains: tuple[str, ..
     sums = top.agg(*[F.sum(f"n_{k}") for k in range(len(domains))], F.count(F.lit(1))).first()
     logs = [F.log((F.col(f"n_{k}") + 1) / F.lit(float((sums[k] or 0) + (sums[len(domains)] or 0) + 1))) for k in range(len(domains))]
     mean = sum(logs[1:], logs[0]) / len(domains)
-    return materialize(top.select("feature", *[(x - mean).alias(f"w_{k}") for k, x in enumerate(logs)]), "mixing-weights")
+    priors = [math.log((counts.get(d, 0) + 1) / (sum(counts.values()) + len(domains))) for d in domains]
+    return materialize(top.select("feature", *[(x - mean).alias(f"w_{k}") for k, x in enumerate(logs)]), "mixing-weights"), priors
 
 
-def posteriors(documents: DataFrame, weights: DataFrame, domains: tuple[str, ...] = DOMAINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def posteriors(documents: DataFrame, weights: DataFrame, priors: list[float], domains: tuple[str, ...] = DOMAINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id, _h, tokens, p_0, p_1, ...`` for each id and text; ``_h`` is a hash of the text.
 
     Rows that repeat an id and a text are one document with the tokens of all of them.
     """
-    rows = documents.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.explode_outer(_tokens(F.col(text_col))).alias("run"))
-    rows = rows.select("_id", "_h", "run", _feature(F.col("run")).alias("feature"))
+    # the hash is taken before texts are exploded, not once for each token
+    rows = documents.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), _tokens(F.col(text_col)).alias("_runs"))
+    rows = rows.select("_id", "_h", F.explode_outer("_runs").alias("run")).select("_id", "_h", "run", _feature(F.col("run")).alias("feature"))
     rows = rows.join(F.broadcast(weights), "feature", "left")
     sums = rows.groupBy("_id", "_h").agg(F.count("run").alias("tokens"), *[F.sum(F.coalesce(f"w_{k}", F.lit(0.0))).alias(f"z_{k}") for k in range(len(domains))])
-    scaled = [F.col(f"z_{k}") * (F.lit(float(FULL)) / F.greatest(F.lit(float(FULL)), F.col("tokens"))) for k in range(len(domains))]
+    scaled = [F.col(f"z_{k}") * (F.lit(float(FULL)) / F.greatest(F.lit(float(FULL)), F.col("tokens"))) + F.lit(priors[k]) for k in range(len(domains))]
     top = F.greatest(*scaled)
     sums = sums.select("_id", "_h", "tokens", *[F.exp(z - top).alias(f"e_{k}") for k, z in enumerate(scaled)])
     total = sum((F.col(f"e_{k}") for k in range(1, len(domains))), F.col("e_0"))
@@ -92,37 +100,35 @@ def posteriors(documents: DataFrame, weights: DataFrame, domains: tuple[str, ...
 
 
 def rate(steps: list[list[float]], cap: float) -> Column:
-    """The rate after these steps, from 1."""
-    r = F.lit(1.0)
+    """The rate after these steps, from the rate that was written last."""
+    r = F.col("rate")
     for step in steps:
         move = sum((F.col(f"p_{k}") * F.lit(x) for k, x in enumerate(step)), F.lit(0.0))
         r = F.least(F.lit(cap), F.greatest(F.lit(0.0), r - move))
     return r
 
 
-def fit_rates(members: DataFrame, targets: list[float], cap: float, budget: float | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[list[list[float]], list[float], list[float]]:
-    """Steps of the descent, the totals it reaches and the totals that were asked for.
+def fit_rates(members: DataFrame, targets: list[float], cap: float, budget: float | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float], list[float]]:
+    """``members`` with ``rate``, the totals that the rates reach and the totals that were asked for.
 
     ``targets`` are weights; ``budget`` is the total number of tokens, by default the
     largest that asks no domain for more than its expected total at rate 1.
     """
-    n = len(targets)
+    n, whole = len(targets), sum(targets)
+    if whole <= 0 or min(targets) < 0:
+        raise ValueError("target weights are not negative and not all zero")
 
-    def totals(steps: list[list[float]]) -> list[float]:
-        r = rate(steps, cap)
-        row = members.agg(*[F.sum(F.col("tokens") * F.col(f"p_{k}") * r).alias(f"s{k}") for k in range(n)]).first()
+    def totals(rows: DataFrame) -> list[float]:
+        row = rows.agg(*[F.sum(F.col("tokens") * F.col(f"p_{k}") * F.col("rate")).alias(f"s{k}") for k in range(n)]).first()
         return [float(x or 0.0) for x in row]
 
-    whole = sum(targets)
-    if whole <= 0 or min(targets) < 0:
-        raise ValueError("target weights are not negative and not all zero")
     share = [t / whole for t in targets]
-    base = totals([])
+    written = members.withColumn("rate", F.lit(1.0))
+    now = base = totals(written)
     if budget is None:
         budget = min((b / w for b, w in zip(base, share, strict=True) if w > 0), default=0.0)
     wanted = [budget * w for w in share]
-    steps: list[list[float]] = []
-    now, before = base, None
+    rows, steps, before = written, [], None
     for _ in range(rounds):
         gap = [s - t for s, t in zip(now, wanted, strict=True)]
         loss = sum(g * g / b for g, b in zip(gap, base, strict=True) if b > 0)
@@ -130,8 +136,12 @@ def fit_rates(members: DataFrame, targets: list[float], cap: float, budget: floa
             break
         before = loss
         steps.append([STEP * g / b if b > 0 else 0.0 for g, b in zip(gap, base, strict=True)])
-        now = totals(steps)
-    return steps, now, wanted
+        rows = written.withColumn("rate", rate(steps, cap))
+        if len(steps) == WRITE:
+            rows = written = materialize(rows, "mixing-rates")
+            steps = []
+        now = totals(rows)
+    return rows, now, wanted
 
 
 def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], cap: float = 1.0, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,12 +153,11 @@ def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], ca
     rate like others. Empty tables give an empty result.
     """
     domains = tuple(targets)
-    weights = classifier(documents, labelled, domains, id_col, text_col)
-    members = materialize(posteriors(documents, weights, domains, id_col, text_col), "mixing-members")
+    weights, priors = classifier(documents, labelled, domains, id_col, text_col)
+    members = materialize(posteriors(documents, weights, priors, domains, id_col, text_col), "mixing-members")
     drop_shuffles(documents.sparkSession)
-    steps, _, _ = fit_rates(members, list(targets.values()), cap, budget)
+    rows, _, _ = fit_rates(members, list(targets.values()), cap, budget)
     draw = F.pmod(F.xxhash64(F.lit("mix"), "_id"), F.lit(1 << 30)) / float(1 << 30)
-    rows = members.withColumn("rate", rate(steps, cap))
     return rows.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
 
 
