@@ -167,7 +167,8 @@ def betweenness(edges: DataFrame, max_nodes: int = 5000, parts: int = 8) -> Data
                         part[v] += k * paths[v] / paths[w] * (1 + part[w])
                     if w != s:
                         total[w] = total.get(w, 0.0) + part[w]
-        yield pd.DataFrame({"node": list(total), "score": list(total.values())})
+        if total:
+            yield pd.DataFrame({"node": pd.Series(list(total), dtype=object), "score": list(total.values())})
 
     sums = nodes.repartition(parts, "node").mapInPandas(run, "node string, score double").groupBy("node").agg(F.sum("score").alias("score"))
     return nodes.join(sums, "node", "left").fillna(0.0, ["score"])
@@ -221,7 +222,7 @@ def communities(edges: DataFrame, passes: int = 50) -> DataFrame:
         low: dict[str, str] = {}
         for x in names:
             low.setdefault(home[x], x)
-        return pd.DataFrame({"component": group["component"].iloc[0], "node": names, "community": [low[home[x]] for x in names]})
+        return pd.DataFrame({"component": group["component"].iloc[0], "node": pd.Series(names, dtype=object), "community": pd.Series([low[home[x]] for x in names], dtype=object)})
 
     return rows.groupBy("component").applyInPandas(run, "component long, node string, community string")
 
