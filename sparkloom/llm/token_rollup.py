@@ -10,9 +10,15 @@ written anew. Totals are the sums over all complete batches.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm.arrow import small_batches
+from sparkloom.llm.piece_bpe import codec
+
 DELTA = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
 _KEY = ["source", "lang", "tokenizer"]
 
@@ -92,13 +98,6 @@ def with_counts(documents: DataFrame, tokenizer: str, text_col: str = "text", so
 
 def with_piece_counts(documents: DataFrame, model_file: str, tokenizer: str, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """The same with a sentencepiece model, begin and end ids left out."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    from sparkloom.llm.arrow import small_batches
-    from sparkloom.llm.piece_bpe import codec
-
     small_batches(documents.sparkSession)
 
     @F.pandas_udf("long")
