@@ -467,3 +467,53 @@ def trace(spark, d):
     select node, cast(min(depth) as int) as depth from walk group by node""")
 def focus(spark, d):
     return G.focus(nation_edges(spark, d), "n7", 2)
+
+
+# --- design -------------------------------------------------------------------
+
+from sparkloom.operators import design as D  # noqa: E402
+
+
+@query("implementations", """with m as (select distinct o_custkey as type, o_orderpriority as method from orders), w as (select distinct concat('seg-', c_mktsegment) as iface, o_orderpriority as method from orders join customer on o_custkey = c_custkey where o_orderpriority < '4'),
+    s as (select iface, count(*) as size from w group by 1)
+    select cast(m.type as varchar) as type, w.iface from m join w using (method) join s on s.iface = w.iface group by m.type, w.iface, s.size having count(*) = s.size""")
+def implementations(spark, d):
+    o = _t(spark, d, "orders")
+    methods = o.select(F.col("o_custkey").cast("string").alias("type"), F.col("o_orderpriority").alias("method"))
+    seg = o.where("o_orderpriority < '4'").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.concat(F.lit("seg-"), "c_mktsegment").alias("iface"), F.col("o_orderpriority").alias("method"))
+    return D.implementations(methods, seg)
+
+
+@query("strategies", """with m as (select distinct p_type as type, p_brand as method from part), w as (select distinct concat('if-', p_size) as iface, p_brand as method from part where p_size > 45),
+    s as (select iface, count(*) as size from w group by 1), i as (select m.type, w.iface from m join w using (method) join s on s.iface = w.iface group by m.type, w.iface, s.size having count(*) = s.size)
+    select iface, count(*) as n, list_sort(list(type)) as types from i group by iface having count(*) >= 2""")
+def strategies(spark, d):
+    p = _t(spark, d, "part")
+    wanted = p.where("p_size > 45").select(F.concat(F.lit("if-"), "p_size").alias("iface"), F.col("p_brand").alias("method"))
+    return D.strategies(D.implementations(p.select(F.col("p_type").alias("type"), F.col("p_brand").alias("method")), wanted))
+
+
+@query("lack_of_cohesion", """with recursive u as (select distinct l_orderkey as t, l_linenumber as m, l_suppkey % 10 as f from lineitem), e as (select distinct a.t, a.m as x, b.m as y from u a join u b on a.t = b.t and a.f = b.f),
+    r as (select t, x, y from e union select r.t, r.x, e.y from r join e on r.t = e.t and r.y = e.x), c as (select t, x, min(y) as root from r group by t, x)
+    select t as type, count(distinct root) as lcom4 from c group by t""")
+def lack_of_cohesion(spark, d):
+    uses = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("type"), F.col("l_linenumber").alias("method"), (F.col("l_suppkey") % 10).alias("member")).distinct()
+    return D.lack_of_cohesion(uses)
+
+
+@query("god_types", "select concat(p_brand, '/', p_type) as type, count(*) as n from part group by 1 having count(*) > 15")
+def god_types(spark, d):
+    return D.god_types(_t(spark, d, "part").select(F.concat("p_brand", F.lit("/"), "p_type").alias("type")))
+
+
+@query("error_styles", """with c as (select user_id as pkg, event_type as style, count(*) as n from events group by all), t as (select pkg, arg_min(style, (-n, style)) as style, max(n) as n from c group by pkg),
+    g as (select style, sum(n) as n from t group by style), u as (select arg_min(style, (-n, style)) as usual from g)
+    select pkg, style, usual from t cross join u where style <> usual and (select count(*) from t) >= 2""")
+def error_styles(spark, d):
+    return D.error_styles(_t(spark, d, "events").select(F.col("user_id").alias("pkg"), F.col("event_type").alias("style")))
+
+
+@query("builders", """with m as (select p_brand as type, case when p_size > 20 then p_brand else p_type end as result from part)
+    select type, count(*) filter (where result = type) as chainable, count(*) as n from m group by type having count(*) filter (where result = type) >= 3 and count(*) filter (where result = type) / count(*) >= 0.5""")
+def builders(spark, d):
+    return D.builders(_t(spark, d, "part").select(F.col("p_brand").alias("type"), F.col("p_name").alias("method"), F.when(F.col("p_size") > 20, F.col("p_brand")).otherwise(F.col("p_type")).alias("result")))
