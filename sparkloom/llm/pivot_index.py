@@ -162,11 +162,9 @@ def _links(distinct: DataFrame, n_points: int, threshold: float, pivots: int, ne
     known = distinct.select("pid", "w", "v").mapInPandas(describe, "pid long, w long, v array<double>, near array<int>")
     known = materialize(known, "pivot-known")
     posts = known.select("pid", "w", "v", "near", F.explode("near").alias("cell"))
-    # one row per pivot at most
-    per_cell = known.select(F.explode("near").alias("cell")).groupBy("cell").count().collect()
-    cuts = {r["cell"]: -(-r["count"] // block) for r in per_cell}
-    many = F.create_map(*[F.lit(x) for c, n in cuts.items() for x in (c, n)])[F.col("cell")] if cuts else F.lit(1)
-    posts = posts.withColumn("blocks", many).withColumn("b", F.pmod(F.xxhash64("pid"), F.col("blocks")).cast("int"))
+    # one row per pivot at most, hence broadcast
+    cuts = known.select(F.explode("near").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    posts = posts.join(F.broadcast(cuts), "cell").withColumn("b", F.pmod(F.xxhash64("pid"), F.col("blocks")).cast("int"))
     posts = posts.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
     posts = posts.withColumn("lo", F.least("b", "other")).withColumn("hi", F.greatest("b", "other"))
 

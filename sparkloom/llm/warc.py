@@ -33,9 +33,9 @@ def base32(hex40: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def record_id(kind: str, page_id: Column) -> Column:
-    """A URN that depends on the page and the kind of record alone."""
-    h = F.md5(F.encode(F.concat(F.lit(kind + ":"), F.coalesce(page_id.cast("string"), F.lit("null"))), "UTF-8"))
+def record_id(kind: str, page_id: Column, digest: Column) -> Column:
+    """A URN that depends on the kind of record, the page and its payload alone."""
+    h = F.md5(F.encode(F.concat(F.lit(kind + ":"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(":"), digest), "UTF-8"))
     cuts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cuts), F.lit(">"))
 
@@ -80,14 +80,14 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, compression: str
     page, again = F.col("page_id"), F.col("refers_to").isNotNull()
     uri = F.regexp_replace(F.coalesce("url", F.lit("urn:unknown")), "[\\x00-\\x20\\x7F]", "%20")
     date, target = ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", uri)
-    request, response, metadata = (record_id(kind, page) for kind in ("request", "response", "metadata"))
+    request, response, metadata = (record_id(kind, page, F.col("payload_digest")) for kind in ("request", "response", "metadata"))
     asked = F.concat(F.lit("GET / HTTP/1.1\r\nUser-Agent: sparkloom\r\nX-Target: "), uri, F.lit("\r\n\r\n"))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest")))
     one = _record("request", [("WARC-Record-ID", request), date, target, ("Content-Type", F.lit("application/http;msgtype=request"))], asked)
     two = _record(
         F.when(again, "revisit").otherwise("response"),
-        [("WARC-Record-ID", response), date, target, ("WARC-Concurrent-To", request), digest, ("WARC-Refers-To", F.when(again, record_id("response", F.col("refers_to")))), ("WARC-Profile", F.when(again, F.lit(_PROFILE))), ("Content-Type", F.lit("application/http;msgtype=response"))],
+        [("WARC-Record-ID", response), date, target, ("WARC-Concurrent-To", request), digest, ("WARC-Refers-To", F.when(again, record_id("response", F.col("refers_to"), F.col("payload_digest")))), ("WARC-Profile", F.when(again, F.lit(_PROFILE))), ("Content-Type", F.lit("application/http;msgtype=response"))],
         F.when(again, head).otherwise(F.concat(head, F.col("html"))),
     )
     fields = F.concat_ws("\r\n", F.concat(F.lit("page-id: "), page.cast("string")), F.lit("via: sparkloom"))
@@ -150,12 +150,14 @@ def captures(records: DataFrame) -> DataFrame:
     """One nested row per response or revisit: ``request, response, metadata`` structs.
 
     A record without its partner gives a null struct; requests and metadata that no
-    response belongs to are left out. Record ids are unique in an archive set.
+    response belongs to are left out. Where pages were written repeatedly, their
+    records share ids: each repeated response gives a capture with one request and one
+    metadata record.
     """
     responses = records.where(F.col("type").isin("response", "revisit"))
     response = responses.select(F.struct("record_id", "type", "refers_to", "uri", "date", "payload_bytes", "payload_digest", "payload").alias("response"), F.col("record_id").alias("_id"), F.col("concurrent_to").alias("_request"))
-    request = records.where("type = 'request'").select(F.col("record_id").alias("_request"), F.struct("record_id", "uri", "date").alias("request"))
-    metadata = records.where("type = 'metadata'").select(F.col("concurrent_to").alias("_id"), F.struct("record_id", "page_id").alias("metadata"))
+    request = records.where("type = 'request'").select(F.col("record_id").alias("_request"), F.struct("record_id", "uri", "date").alias("request")).dropDuplicates(["_request"])
+    metadata = records.where("type = 'metadata'").select(F.col("concurrent_to").alias("_id"), F.struct("record_id", "page_id").alias("metadata")).dropDuplicates(["_id"])
     return response.join(request, "_request", "left").join(metadata, "_id", "left").select("request", "response", "metadata")
 
 
