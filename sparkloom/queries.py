@@ -143,7 +143,8 @@ def jaccard(spark, d):
     ranked = materialize(rows.repartitionByRange("l_orderkey").sortWithinPartitions("l_orderkey").withColumn("part", F.spark_partition_id()), "jaccard")
     by = Window.partitionBy("part").orderBy("l_orderkey")
     inner = ranked.withColumn("c", F.lead("b").over(by))
-    heads = ranked.groupBy("part").agg(F.min(F.struct("l_orderkey", "b")).alias("h")).select((F.col("part") - 1).alias("part"), F.col("h.b").alias("hb"))
+    # one row per partition that has rows; the first row of each follows the last row of the one before
+    heads = ranked.groupBy("part").agg(F.min(F.struct("l_orderkey", "b")).alias("h")).select(F.lag("part").over(Window.orderBy("part")).alias("part"), F.col("h.b").alias("hb"))
     return inner.join(heads, "part", "left").select("l_orderkey", "b", F.coalesce("c", "hb").alias("c")).where("c is not null").select("l_orderkey", F.round(S.jaccard(F.col("b"), F.col("c")), 6).alias("similarity"))
 
 
