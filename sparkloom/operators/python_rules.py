@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.sources.config import Thresholds
 from sparkloom.sources.python_source import Model
 
 
@@ -51,20 +52,20 @@ def star_imports(m: Model) -> DataFrame:
     return _found(m.imports.where("star"), "style/star-import", "line")
 
 
-def complexity(m: Model, params: int = 5, length: int = 60, cognitive: int = 15, cyclomatic: int = 10) -> DataFrame:
+def complexity(m: Model, t: Thresholds = Thresholds()) -> DataFrame:
     """Too many parameters, long functions, cognitive and cyclomatic complexity above their limits."""
     f = m.functions
     own = F.size(F.filter("params", lambda p: ~p.isin("self", "cls")))
-    kinds = {"complexity/too-many-params": own > params, "complexity/long-function": F.col("end_line") - F.col("line") > length, "complexity/cognitive": F.col("cognitive") > cognitive, "complexity/cyclomatic": F.col("cyclomatic") > cyclomatic}
+    kinds = {"complexity/too-many-params": own > t.max_params, "complexity/long-function": F.col("end_line") - F.col("line") > t.func_max_lines, "complexity/cognitive": F.col("cognitive") > t.max_cognitive_complexity, "complexity/cyclomatic": F.col("cyclomatic") > t.max_cyclomatic_complexity}
     return reduce(DataFrame.union, [_found(f.where(cond), name, "line") for name, cond in kinds.items()])
 
 
-RULES = [bare_except, mutable_default, global_statement, missing_type_hint, mutable_class_attribute, names, star_imports, complexity]
+RULES = [bare_except, mutable_default, global_statement, missing_type_hint, mutable_class_attribute, names, star_imports]
 
 
-def check(m: Model) -> DataFrame:
+def check(m: Model, t: Thresholds = Thresholds()) -> DataFrame:
     """``file, n, category`` of all rules, each node once."""
-    return reduce(DataFrame.union, [rule(m) for rule in RULES])
+    return reduce(DataFrame.union, [*[rule(m) for rule in RULES], complexity(m, t)])
 
 
 def entry_points(m: Model) -> DataFrame:
@@ -77,11 +78,3 @@ def entry_points(m: Model) -> DataFrame:
     )
     rows = rows.withColumn("kind", kind).where("kind is not null")
     return rows.groupBy("fq").agg(F.min(F.struct("k", "kind", "decorator")).alias("b")).select("fq", "b.kind", "b.decorator")
-
-
-#: Python modules by the kind of boundary they stand for.
-BOUNDARIES = [
-    ("sqlalchemy", "database"), ("psycopg2", "database"), ("asyncpg", "database"), ("pymongo", "database"), ("django.db", "database"), ("sqlite3", "database"),
-    ("redis", "cache"), ("memcache", "cache"), ("requests", "http"), ("httpx", "http"), ("aiohttp", "http"), ("urllib", "http"),
-    ("celery", "queue"), ("kafka", "queue"), ("pika", "queue"), ("boto3", "cloud"), ("google.cloud", "cloud"), ("azure", "cloud"), ("grpc", "rpc"), ("smtplib", "mail"),
-]

@@ -210,7 +210,7 @@ def blocks_lacking(spark, d):
 
 
 @query("finding_summary", f"""with {_LINES}, f as ({" union all ".join(f"select file, '{r.category}' as category from lines where {r.sql()}" for r in L.ALL)})
-    select category, 0.3 as confidence, 'low' as label, count(*) as n, count(distinct file) as files from f group by category""")
+    select category, cast(0.3 as double) as confidence, 'low' as label, count(*) as n, count(distinct file) as files from f group by category""")
 def finding_summary(spark, d):
     return C.summary(L.scan(lines(spark, d), L.ALL))
 

@@ -3,37 +3,19 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scalars import matches_filter
-from sparkloom.operators import graph, line_rules, python_rules, relational, score
+from sparkloom.operators import entry_points, graph, line_rules, python_rules, relational, score
+from sparkloom.sources.config import Config
 from sparkloom.sources.lines import lines_of
 from sparkloom.sources.python_source import Model
 
 
-@dataclass(frozen=True)
-class Thresholds:
-    max_params: int = 5
-    max_returns: int = 2
-    max_methods: int = 15
-    max_function_lines: int = 60
-    max_cognitive: int = 15
-    max_cyclomatic: int = 10
-    min_calls: int = 3
-    similarity: float = 0.7
-    min_samples: int = 5
-    dominance: float = 0.6
-
-    def merged(self, values: dict) -> Thresholds:
-        """Positive values override; zero, negative and unknown ones do not."""
-        known = {f.name for f in fields(self)}
-        return replace(self, **{k: v for k, v in values.items() if k in known and isinstance(v, (int, float)) and v > 0})
-
-
 @dataclass(frozen=True)
 class Options:
     """``focus``: a function around which structure is cut out; ``format``: compact or json."""
@@ -44,7 +26,7 @@ class Options:
     format: str = "compact"
     rules_only: bool = False
     structure_only: bool = False
-    thresholds: Thresholds = Thresholds()
+    config: Config = Config()
 
     def __post_init__(self) -> None:
         if self.format not in ("compact", "json"):
@@ -53,7 +35,7 @@ class Options:
 
 def analyze(model: Model, options: Options = Options()) -> dict[str, DataFrame]:
     """Lazy sections of the report."""
-    t, out = options.thresholds, {}
+    t, out = options.config.thresholds, {}
     calls = relational.with_packages(model.calls, model.functions.select("fq", "pkg"))
     edges, packages, imports = model.calls, model.packages, model.imports.select("pkg", "imp")
     if not options.rules_only:
@@ -67,7 +49,7 @@ def analyze(model: Model, options: Options = Options()) -> dict[str, DataFrame]:
     if options.structure_only:
         return out
     lines = lines_of(model.files, "path", "text")
-    python = [python_rules.check(model), line_rules.scan(lines, line_rules.ALL)]
+    python = [python_rules.check(model, t), line_rules.scan(lines, line_rules.ALL)]
     findings = reduce(DataFrame.union, [x.select("file", "n", "category") for x in python])
     if options.packages:
         files = model.rows.where(matches_filter(F.col("module"), options.packages)).select(F.col("path").alias("file"))
@@ -77,9 +59,11 @@ def analyze(model: Model, options: Options = Options()) -> dict[str, DataFrame]:
     out["feature_envy"] = relational.feature_envy(calls)
     out["shotgun_surgery"] = relational.shotgun_surgery(calls)
     out["middle_man"] = relational.middle_man(calls)
-    out["duplicates"] = relational.duplicated_sets(edges.select(F.col("src").alias("id"), F.col("dst").alias("item")), t.min_calls)
+    out["duplicates"] = relational.duplicated_sets(edges.select(F.col("src").alias("id"), F.col("dst").alias("item")), t.dup_callgraph_min_calls)
     out["entry_points"] = python_rules.entry_points(model)
-    out["boundaries"] = relational.boundaries(imports.select(F.col("imp").alias("module"), "pkg"), python_rules.BOUNDARIES, ".")
+    out["boundaries"] = relational.boundaries(imports.select(F.col("imp").alias("module"), "pkg"), entry_points.rules_of(entry_points.PYTHON_BOUNDARIES), ".")
+    if options.config.layers:
+        out["layer_violations"] = relational.layer_violations(imports, relational.package_layers(packages, options.config.layers), options.config.allowed)
     out["hotspots"] = graph.hotspots(edges)
     comps = graph.strong_components(edges)
     out["clusters"] = graph.clusters(edges, comps)

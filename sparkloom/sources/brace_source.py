@@ -7,6 +7,7 @@ need resolved types work on their names.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -16,11 +17,11 @@ from pyspark.sql import DataFrame
 from sparkloom.plans.shipping import ship
 
 SCHEMA = """path string, pkg string, name string, error string,
-functions array<struct<name:string,receiver:string,signature:string,line:int,end_line:int,exported:boolean,params:array<struct<name:string,type:string>>,results:array<string>,named_results:boolean,cyclomatic:int,cognitive:int>>,
+functions array<struct<name:string,receiver:string,signature:string,line:int,end_line:int,exported:boolean,params:array<struct<name:string,type:string>>,results:array<string>,named_results:boolean,cyclomatic:int,cognitive:int,uses:array<string>,shape:string,size:int>>,
 types array<struct<name:string,kind:string,line:int,methods:array<string>,fields:array<struct<name:string,type:string>>>>,
 variables array<struct<name:string,type:string,line:int>>,
 imports array<struct<module:string,raw:string,names:int,line:int>>,
-calls array<struct<src:string,dst:string,line:int>>,
+calls array<struct<src:string,dst:string,line:int,arg:string,last:string>>,
 flags array<struct<category:string,line:int>>"""
 
 _TOKEN = re.compile(r"""(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<number>\d[\w.]*)|(?P<word>[A-Za-z_$][\w$]*)|(?P<mark>=>|:=|\|\||&&|\?\?|\?\.|\.\.\.|!==?|===?|<=|>=|\+\+|--|[^\s\w])""", re.S)
@@ -101,8 +102,15 @@ def measure(body: list[Token], words: set[str]) -> tuple[int, int]:
     return cyclo, cog
 
 
-def _called(body: list[Token], skip: set[str]) -> list[tuple[str, int]]:
-    out: dict[str, int] = {}
+def shape(body: list[Token], words: set[str]) -> tuple[str, int]:
+    """Digest of a body with names, strings and numbers made alike, and its number of tokens."""
+    alike = [t if kind == "mark" or t in words else {"word": "x", "string": "s", "number": "0"}[kind] for kind, t, _ in body]
+    return hashlib.sha256(" ".join(alike).encode()).hexdigest()[:24], len(body)
+
+
+def _called(body: list[Token], skip: set[str]) -> list[tuple[str, int, str | None, str | None]]:
+    """Callees once each, with the line, the first argument if it is a string, and the last one if it is a name."""
+    out: dict[str, tuple] = {}
     for i, (kind, t, line) in enumerate(body):
         if kind != "word" or i + 1 >= len(body) or body[i + 1][1] != "(" or t in skip:
             continue
@@ -110,8 +118,13 @@ def _called(body: list[Token], skip: set[str]) -> list[tuple[str, int]]:
         while k >= 2 and body[k - 1][1] in (".", "?.") and body[k - 2][0] == "word":
             k -= 2
             name = body[k][1] + "." + name
-        out.setdefault(name, line)
-    return list(out.items())
+        key = name if body[i + 2 : i + 3] == [] or body[i + 2][0] != "string" else name + body[i + 2][1]
+        if key not in out:
+            args = split_commas(body[i + 2 : closing(body, i + 1)])
+            first = args[0][0][1].strip("\"'`") if args and args[0][0][0] == "string" else None
+            last = joined(args[-1]) if args and args[-1][-1][0] == "word" else None
+            out[key] = (name, line, first, last)
+    return list(out.values())
 
 
 def _go_params(ts: list[Token]) -> list[dict]:
@@ -226,11 +239,11 @@ def parse_go(path: str, pkg: str, text: str | None) -> dict:
             cyclo, cog = measure(body, {"if", "for", "switch", "select"})
             stop = ts[min(end, len(ts) - 1)][2]
             own = f"{pkg}.{receiver}.{name}" if receiver else f"{pkg}.{name}"
-            out["functions"].append({"name": name, "receiver": receiver, "signature": joined([*head[1:], *res]), "line": start, "end_line": stop, "exported": name[:1].isupper(), "params": params, "results": [x["type"] for x in inner], "named_results": named, "cyclomatic": cyclo, "cognitive": cog})
-            for c, n in _called(body, _GO_WORDS | _GO_BUILTINS):
+            out["functions"].append({"name": name, "receiver": receiver, "signature": joined([*head[1:], *res]), "line": start, "end_line": stop, "exported": name[:1].isupper(), "params": params, "results": [x["type"] for x in inner], "named_results": named, "cyclomatic": cyclo, "cognitive": cog, "uses": [], "shape": (sh := shape(body, _GO_WORDS))[0], "size": sh[1]})
+            for c, n, first, last in _called(body, _GO_WORDS | _GO_BUILTINS):
                 dst = c if "." in c else f"{pkg}.{c}"
                 if dst != own:
-                    out["calls"].append({"src": own, "dst": dst, "line": n})
+                    out["calls"].append({"src": own, "dst": dst, "line": n, "arg": first, "last": last})
             library = out["name"] != "main" and "/cmd" not in pkg
             for j, (k2, x, n) in enumerate(body):
                 nxt = body[j + 1] if j + 1 < len(body) else ("", "", 0)
@@ -256,7 +269,7 @@ def parse_go(path: str, pkg: str, text: str | None) -> dict:
                         if k3 < len(body) and body[k3][1] == "{" and len(split_commas(body[k3 + 1 : closing(body, k3)])) >= 3:
                             flag("style/untyped-map", n)
             if name == "init" and not receiver:
-                for c, n in _called(body, set()):
+                for c, n, _, _ in _called(body, set()):
                     if c.startswith(("http.", "sql.", "net.", "io.")) or c.startswith("os.Open"):
                         flag("style/init-side-effects", n)
             i = end + 1
@@ -269,7 +282,7 @@ def parse_go(path: str, pkg: str, text: str | None) -> dict:
 
 
 def parse_ts(path: str, pkg: str, text: str | None) -> dict:
-    out, ts = _empty(path, pkg), tokens(text or "")
+    out, ts, waiting = _empty(path, pkg), tokens(text or ""), []
     flag = lambda category, line: out["flags"].append({"category": category, "line": line})
 
     def param(p: list[Token]) -> dict:
@@ -290,11 +303,12 @@ def parse_ts(path: str, pkg: str, text: str | None) -> dict:
         body = ts[k2 + 1 : stop]
         cyclo, cog = measure(body, {"if", "for", "while", "switch", "catch"})
         own = f"{pkg}.{receiver}.{name}" if receiver else f"{pkg}.{name}"
-        out["functions"].append({"name": name, "receiver": receiver, "signature": f"{name}({joined(ts[k + 1 : end])})" + (f": {ret}" if ret else ""), "line": line, "end_line": ts[min(stop, len(ts) - 1)][2], "exported": exported, "params": params, "results": [ret] if ret else [], "named_results": False, "cyclomatic": cyclo, "cognitive": cog})
-        for c, n in _called(body, _TS_WORDS):
+        out["functions"].append({"name": name, "receiver": receiver, "signature": f"{name}({joined(ts[k + 1 : end])})" + (f": {ret}" if ret else ""), "line": line, "end_line": ts[min(stop, len(ts) - 1)][2], "exported": exported, "params": params, "results": [ret] if ret else [], "named_results": False, "cyclomatic": cyclo, "cognitive": cog, "uses": waiting[:], "shape": (sh := shape(body, _TS_WORDS))[0], "size": sh[1]})
+        waiting.clear()
+        for c, n, first, last in _called(body, _TS_WORDS):
             dst = f"{pkg}.{receiver}.{c[5:]}" if c.startswith("this.") and receiver else c if "." in c else f"{pkg}.{c}"
             if dst != own:
-                out["calls"].append({"src": own, "dst": dst, "line": n})
+                out["calls"].append({"src": own, "dst": dst, "line": n, "arg": first, "last": last})
         return stop + 1
 
     i, exported = 0, False
@@ -344,7 +358,11 @@ def parse_ts(path: str, pkg: str, text: str | None) -> dict:
                 break
             end, j, methods, fields = closing(ts, k), k + 1, [], []
             while j < end:
-                if ts[j][0] == "word" and j + 1 < end and ts[j + 1][1] == "(" and ts[j][1] not in ("if", "for"):
+                if ts[j][1] == "@" and j + 1 < end:
+                    j2 = closing(ts, j + 2) if j + 2 < end and ts[j + 2][1] == "(" else j + 1
+                    waiting.append(joined(ts[j + 1 : j2 + 1]))
+                    j = j2 + 1
+                elif ts[j][0] == "word" and j + 1 < end and ts[j + 1][1] == "(" and ts[j][1] not in ("if", "for"):
                     methods.append(ts[j][1])
                     if t == "class":
                         j = function(ts[j][1], nxt[1], ts[j][2], j + 1, exported)

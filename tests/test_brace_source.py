@@ -1,5 +1,6 @@
 from sparkloom.operators import brace_rules as B
 from sparkloom.operators import design as D
+from sparkloom.operators import entry_points as E
 from sparkloom.sources import brace_source as S
 
 GO = '''package store
@@ -97,3 +98,15 @@ def test_design(spark):
     assert [r["iface"] for r in D.strategies(got).collect()] == ["Saver"]
     uses = spark.createDataFrame([("T", "a", "x"), ("T", "b", "x"), ("T", "c", "y"), ("T", "d", None), ("V", "a", "x")], "type string, method string, member string")
     assert {r["type"]: r["lcom4"] for r in D.lack_of_cohesion(uses).collect()} == {"T": 3, "V": 1}
+
+
+def test_entry_points_and_shapes(spark):
+    go = 'package main\nimport "github.com/go-chi/chi"\nfunc routes() {\n r.Get("/users", listUsers)\n r.Mount("/api", api)\n}\n'
+    ts = 'class C {\n @Get("/x")\n list(): void { return one(1); }\n}\nfunction setup(app: any): void { app.post("/y", h); }\n'
+    one = S.parsed(spark.createDataFrame([("m.go", "m", go)], "path string, pkg string, text string"), "go")
+    assert sorted((r["handler"], r["route"]) for r in E.go_entry_points(one).collect()) == [("api", "GROUP /api"), ("listUsers", "GET /users")]
+    two = S.parsed(spark.createDataFrame([("c.ts", "c", ts)], "path string, pkg string, text string"), "typescript")
+    assert sorted((r["handler"], r["route"]) for r in E.ts_entry_points(two).collect()) == [("c.list", "GET /x"), ("c.setup", "POST /y")]
+    copies = "package p\n" + "".join(f"func F{n}(a int) int {{ x := a + {n}; y := x * a; z := y - {n}; return g{n}(x, y, z, a) }}\n" for n in range(3))
+    rows = B.table(S.parsed(spark.createDataFrame([("p.go", "p", copies)], "path string, pkg string, text string"), "go"), "functions").selectExpr("concat(pkg, '.', name) as fq", "shape", "size")
+    assert sorted(r["member"] for r in E.duplicate_shapes(rows, 20).collect()) == ["p.F0", "p.F1", "p.F2"]

@@ -3,7 +3,8 @@ import json
 import pytest
 
 from sparkloom.operators import python_rules as P
-from sparkloom.report import Options, Thresholds, analyze, to_json, to_text
+from sparkloom.report import Options, analyze, to_json, to_text
+from sparkloom.sources.config import Config, Thresholds, load, write_template
 from sparkloom.sources.lines import detect_language, source_files
 from sparkloom.sources.python_source import Model
 
@@ -69,10 +70,10 @@ def test_report(model):
     sections = analyze(model)
     assert sections["summary"].first()["functions"] == 3
     assert "findings" in json.loads(to_json({k: sections[k] for k in ("findings", "boundaries")})) and "## summary" in to_text({"summary": sections["summary"]})
-    assert [r["kind"] for r in sections["boundaries"].collect()] == ["http"]
+    assert [r["kind"] for r in sections["boundaries"].collect()] == ["http-client"]
     with pytest.raises(ValueError):
         Options(format="xml")
-    assert Thresholds().merged({"max_params": 9, "max_methods": 0, "other": 3}) == Thresholds(max_params=9)
+    assert Thresholds().merged({"max_params": 9, "func_max_lines": 0, "other": 3}) == Thresholds(max_params=9)
     assert set(analyze(model, Options(structure_only=True, packages=["pkg.b"]))) == {"structure"}
 
 
@@ -101,3 +102,13 @@ def test_entry(spark):
 
     assert e.entry(spark).limit(1).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_config(model, tmp_path):
+    path = tmp_path / "c.yaml"
+    write_template(str(path))
+    with pytest.raises(FileExistsError):
+        write_template(str(path))
+    assert load(str(path)).thresholds == Thresholds() and load(str(path)).allowed == {"service": ["store"], "store": []}
+    layered = Config([("a", ["pkg.a"]), ("b", ["pkg.b"])], {"a": ["b"], "b": []})
+    assert analyze(model, Options(config=layered))["layer_violations"].count() == 0
