@@ -30,6 +30,8 @@ VOCABULARY = 20_000
 FULL = 400
 #: Length of a step, rounds at most, and the relative error of every total at which the descent ends.
 STEP, ROUNDS, TOLERANCE = 1.7, 60, 2e-3
+#: Log prior of a domain without labels.
+NEVER = -1e9
 #: Steps between two writings of the rates.
 WRITE = 6
 
@@ -60,8 +62,8 @@ def classifier(documents: DataFrame, labelled: DataFrame, domains: tuple[str, ..
 
     Weights are log-likelihood ratios against the mean over domains, with one added to
     counts; every domain has the same say in them, however many labels it has. Priors
-    are the shares of all labels. Without labelled documents there are no weights and
-    posteriors are equal.
+    are the shares of all labels, and a domain without a label is never predicted.
+    Without labelled documents there are no weights and posteriors are equal.
     """
     known = labelled.where(F.col("domain").isin(*domains)).select(F.col(id_col).alias("_id"), "domain")
     counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
@@ -78,7 +80,7 @@ def classifier(documents: DataFrame, labelled: DataFrame, domains: tuple[str, ..
     sums = top.agg(*[F.sum(f"n_{k}") for k in range(len(domains))], F.count(F.lit(1))).first()
     logs = [F.log((F.col(f"n_{k}") + 1) / F.lit(float((sums[k] or 0) + (sums[len(domains)] or 0) + 1))) for k in range(len(domains))]
     mean = sum(logs[1:], logs[0]) / len(domains)
-    priors = [math.log((counts.get(d, 0) + 1) / (sum(counts.values()) + len(domains))) for d in domains]
+    priors = [math.log((counts[d] + 1) / (sum(counts.values()) + len(domains))) if d in counts else NEVER for d in domains]
     return materialize(top.select("feature", *[(x - mean).alias(f"w_{k}") for k, x in enumerate(logs)]), "mixing-weights"), priors
 
 
@@ -108,11 +110,13 @@ def rate(steps: list[list[float]], cap: float) -> Column:
     return r
 
 
-def fit_rates(members: DataFrame, targets: list[float], cap: float, budget: float | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float], list[float]]:
+def fit_rates(members: DataFrame, targets: list[float], cap: float, budget: float | None = None, anchor: int | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float], list[float]]:
     """``members`` with ``rate``, the totals that the rates reach and the totals that were asked for.
 
-    ``targets`` are weights; ``budget`` is the total number of tokens, by default the
-    largest that asks no domain for more than its expected total at rate 1.
+    ``targets`` are weights and ``budget`` the total number of tokens. By default it is
+    the one that leaves the domain ``anchor`` its expected total at rate 1, or without
+    an anchor the largest that asks no domain for more than that. A domain that cannot
+    reach its target under ``cap`` stays as near to it as it can.
     """
     n, whole = len(targets), sum(targets)
     if whole <= 0 or min(targets) < 0:
@@ -125,7 +129,9 @@ def fit_rates(members: DataFrame, targets: list[float], cap: float, budget: floa
     share = [t / whole for t in targets]
     written = members.withColumn("rate", F.lit(1.0))
     now = base = totals(written)
-    if budget is None:
+    if budget is None and anchor is not None:
+        budget = base[anchor] / share[anchor]
+    elif budget is None:
         budget = min((b / w for b, w in zip(base, share, strict=True) if w > 0), default=0.0)
     wanted = [budget * w for w in share]
     rows, steps, before = written, [], None
@@ -144,7 +150,7 @@ def fit_rates(members: DataFrame, targets: list[float], cap: float, budget: floa
     return rows, now, wanted
 
 
-def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], cap: float = 1.0, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], cap: float = 1.0, budget: float | None = None, anchor: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id, _h, tokens, p_0, ..., rate, copies`` for each id and text of ``documents``.
 
     ``labelled`` has the id and ``domain``, one of the keys of ``targets``. ``copies`` is
@@ -156,14 +162,14 @@ def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], ca
     weights, priors = classifier(documents, labelled, domains, id_col, text_col)
     members = materialize(posteriors(documents, weights, priors, domains, id_col, text_col), "mixing-members")
     drop_shuffles(documents.sparkSession)
-    rows, _, _ = fit_rates(members, list(targets.values()), cap, budget)
+    rows, _, _ = fit_rates(members, list(targets.values()), cap, budget, None if anchor is None else domains.index(anchor))
     draw = F.pmod(F.xxhash64(F.lit("mix"), "_id"), F.lit(1 << 30)) / float(1 << 30)
     return rows.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
 
 
-def mixed(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], cap: float = 1.0, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixed(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], cap: float = 1.0, budget: float | None = None, anchor: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``documents``, each as often as its copies say, with its columns."""
-    found = mix(documents, labelled, targets, cap, budget, id_col, text_col).where("copies > 0").select(F.col("_id").alias("_mix_id"), F.col("_h").alias("_mix_h"), F.col("copies").alias("_mix_copies"))
+    found = mix(documents, labelled, targets, cap, budget, anchor, id_col, text_col).where("copies > 0").select(F.col("_id").alias("_mix_id"), F.col("_h").alias("_mix_h"), F.col("copies").alias("_mix_copies"))
     rows = documents.join(found, F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.xxhash64(text_col) == F.col("_mix_h")))
     rows = rows.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))) if cap > 1 else rows
     return rows.select(*[F.col(f"`{c}`") for c in documents.columns])
