@@ -34,8 +34,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by their fitted rates: no domain is repeated, poor and toxic text is thinned out."""
-    return mixing.mixed(docs, labelled(spark, sf_dir), TARGETS, cap=1.0)
+    """Documents by their fitted rates: good text stays, poor and toxic text is thinned out, nothing is repeated."""
+    return mixing.mixed(docs, labelled(spark, sf_dir), TARGETS, cap=1.0, anchor="good")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
