@@ -7,6 +7,8 @@ encoded form of every document that is left.
 
 from __future__ import annotations
 
+import math
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,8 +36,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by their fitted rates: good text stays, poor and toxic text is thinned out, nothing is repeated."""
-    return mixing.mixed(docs, labelled(spark, sf_dir), TARGETS, cap=1.0, anchor="good")
+    """Documents by their fitted rates: good text stays, poor and toxic text is thinned out or repeated until totals match."""
+    return mixing.mixed(docs, labelled(spark, sf_dir), TARGETS, cap=math.inf, anchor="good")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

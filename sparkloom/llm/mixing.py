@@ -6,7 +6,8 @@ gradient descent on the least squares of domain token totals,
 
     1/2 sum_d (s_d - t_d)^2 / T_d,   s_d = sum_i tokens_i p_id r_i,   0 <= r_i <= cap,
 
-where T_d is the domain's expected total at rate 1. In the metric that weighs
+where T_d is the domain's expected total at rate 1; the cap is infinite where scarce
+domains are to be repeated until their totals match. In the metric that weighs
 documents by their tokens any step below 2 is safe: the matrix of the quadratic form
 has rows that sum to one. A step moves r_i by STEP sum_d p_id (s_d - t_d) / T_d, so an
 iteration is one aggregation of a written table to one row. Rates are recomputed
@@ -15,6 +16,7 @@ from the steps since they were last written, which is after every ``WRITE`` step
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -30,11 +32,15 @@ VOCABULARY = 20_000
 FULL = 400
 #: Length of a step, rounds at most, and the relative error of every total at which the descent ends.
 STEP, ROUNDS, TOLERANCE = 1.7, 60, 2e-3
+#: Totals that move by less than this part of the error allowed stand still.
+STILL = 1e-2
 #: Log prior of a domain without labels.
 NEVER = -1e9
 #: Steps between two writings of the rates.
 WRITE = 6
 
+_log = logging.getLogger(__name__)
+
 _RUNS = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]+|[!-/:-@\\[-`{-~]+"
 
 
@@ -115,8 +121,10 @@ def fit_rates(members: DataFrame, targets: list[float], cap: float, budget: floa
 
     ``targets`` are weights and ``budget`` the total number of tokens. By default it is
     the one that leaves the domain ``anchor`` its expected total at rate 1, or without
-    an anchor the largest that asks no domain for more than that. A domain that cannot
-    reach its target under ``cap`` stays as near to it as it can.
+    an anchor the largest that asks no domain for more than that. The descent ends when
+    every domain with tokens is within ``tolerance`` of its target or, where targets
+    cannot all be reached, when no total moves any more; totals are then the nearest in
+    least squares.
     """
     n, whole = len(targets), sum(targets)
     if whole <= 0 or min(targets) < 0:
@@ -134,13 +142,16 @@ def fit_rates(members: DataFrame, targets: list[float], cap: float, budget: floa
     elif budget is None:
         budget = min((b / w for b, w in zip(base, share, strict=True) if w > 0), default=0.0)
     wanted = [budget * w for w in share]
+    scale = [tolerance * max(t, 1e-3 * budget) for t in wanted]
     rows, steps, before = written, [], None
     for _ in range(rounds):
         gap = [s - t for s, t in zip(now, wanted, strict=True)]
-        loss = sum(g * g / b for g, b in zip(gap, base, strict=True) if b > 0)
-        if all(abs(g) <= tolerance * max(t, 1e-3 * budget) for g, t in zip(gap, wanted, strict=True)) or (before is not None and before - loss <= 1e-3 * before):
+        # a domain without tokens has no rate that could reach its target
+        if all(b <= 0 or abs(g) <= e for g, b, e in zip(gap, base, scale, strict=True)):
+            break
+        if before is not None and all(abs(s - x) <= STILL * e for s, x, e in zip(now, before, scale, strict=True)):
             break
-        before = loss
+        before = now
         steps.append([STEP * g / b if b > 0 else 0.0 for g, b in zip(gap, base, strict=True)])
         rows = written.withColumn("rate", rate(steps, cap))
         if len(steps) == WRITE:
@@ -156,13 +167,17 @@ def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], ca
     ``labelled`` has the id and ``domain``, one of the keys of ``targets``. ``copies`` is
     the whole part of the rate, plus one with the probability of its fraction, drawn
     from a hash of the id. Null and empty texts have no tokens, equal posteriors and a
-    rate like others. Empty tables give an empty result.
+    rate like others. Empty tables give an empty result. Domains whose totals miss their
+    targets are named in a warning.
     """
     domains = tuple(targets)
     weights, priors = classifier(documents, labelled, domains, id_col, text_col)
     members = materialize(posteriors(documents, weights, priors, domains, id_col, text_col), "mixing-members")
     drop_shuffles(documents.sparkSession)
-    rows, _, _ = fit_rates(members, list(targets.values()), cap, budget, None if anchor is None else domains.index(anchor))
+    rows, reached, wanted = fit_rates(members, list(targets.values()), cap, budget, None if anchor is None else domains.index(anchor))
+    for d, s, t in zip(domains, reached, wanted, strict=True):
+        if abs(s - t) > TOLERANCE * max(t, 1e-3 * sum(wanted)):
+            _log.warning("mixing: %s has %.0f expected tokens of %.0f wanted", d, s, t)
     draw = F.pmod(F.xxhash64(F.lit("mix"), "_id"), F.lit(1 << 30)) / float(1 << 30)
     return rows.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +51,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from sparkloom.llm.mixing import mix
 
-    found = mix(table(spark, sf_dir, "documents"), labelled(spark, sf_dir), TARGETS, anchor="good")
+    found = mix(table(spark, sf_dir, "documents"), labelled(spark, sf_dir), TARGETS, cap=math.inf, anchor="good")
     names = [F.col(f"p_{k}").alias(f"p_{d}") for k, d in enumerate(TARGETS)]
     return found.select(F.col("_id").alias("doc_id"), "tokens", *names, "rate", "copies")
 

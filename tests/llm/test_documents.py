@@ -5,12 +5,13 @@ import random
 import re
 from array import array
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkloom.llm import exact_dedup, language_id, license_scan, mixing, piece_bpe, simhash, token_rollup
+from sparkloom.llm import exact_dedup, language_id, license_scan, mixing, piece_bpe, queries, simhash, token_rollup
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = "the quick brown fox jumps over lazy dogs while seven grey wolves sleep under old oak trees near quiet rivers".split()
@@ -239,6 +240,47 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty, labels.limit(0), {"good": 0.9, "poor": 0.1}).count() == 0
 
 
+def nearest_totals(members, targets, cap, budget):
+    """Totals of the least squares by many small steps."""
+    p, t = np.array([m[1:] for m in members]), np.array([m[0] for m in members], dtype=float)
+    base, rates = t @ p, np.ones(len(t))
+    for _ in range(20000):
+        rates = np.clip(rates - p @ (((t * rates) @ p - budget * np.array(targets)) / base), 0, cap)
+    return list((t * rates) @ p)
+
+
+def test_mixing_reaches_scarce_domains(spark, tmp_path):
+    r = random.Random(9)
+    words = {"good": WORDS, "poor": ["junk", "spam", "click", "buy"], "toxic": ["hate", "vile", "scum"]}
+    domain = ["poor" if i % 40 == 0 else "toxic" if i % 100 == 1 else "good" for i in range(400)]
+    rows = [(i, " ".join(r.choice(words[d] if r.random() < 0.8 else WORDS) for _ in range(40))) for i, d in enumerate(domain)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(d == "good"), int(d == "toxic")) for i, d in enumerate(domain)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = [r.asDict() for r in queries.op4_mixing(spark, str(tmp_path)).collect()]
+    names = list(queries.TARGETS)
+    base, s = ([sum(r["tokens"] * r[f"p_{d}"] * k(r) for r in got) for d in names] for k in (lambda r: 1.0, lambda r: r["rate"]))
+    want = [base[0] / 0.9 * w for w in queries.TARGETS.values()]
+    assert base[1] < 0.5 * want[1] and s == pytest.approx(want, rel=0.003)
+    assert len(got) == len(rows) and max(r["copies"] for r in got) > 1
+    members = [(r["tokens"], *[r[f"p_{d}"] for d in names]) for r in got]
+    assert s == pytest.approx(nearest_totals(members, list(queries.TARGETS.values()), np.inf, base[0] / 0.9), rel=0.003)
+
+
+def test_mixing_with_targets_out_of_reach(spark, caplog):
+    # a scarce domain stays out of reach; the third one moves slowly, because most of its rows are half good
+    members = [(100, 1.0, 0.0, 0.0)] * 90 + [(100, 0.0, 1.0, 0.0)] * 2 + [(100, 0.55, 0.0, 0.45)] * 40
+    table = spark.createDataFrame([(float(t), *p) for t, *p in members], "tokens double, p_0 double, p_1 double, p_2 double")
+    _, reached, wanted = mixing.fit_rates(table, [0.5, 0.3, 0.2], 1.0, 6000.0)
+    assert reached[1] == pytest.approx(200) and wanted[1] == pytest.approx(1800)
+    assert reached == pytest.approx(nearest_totals(members, [0.5, 0.3, 0.2], 1.0, 6000.0), rel=0.003)
+    texts = spark.createDataFrame([(i, "junk spam" if i == 0 else "oak tree") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "poor" if i == 0 else "good") for i in range(20)], "doc_id long, domain string")
+    with caplog.at_level("WARNING", "sparkloom"):
+        mixing.mix(texts, labels, {"good": 0.5, "poor": 0.5}, anchor="good")
+    assert "mixing: poor has" in caplog.text
+
+
 def test_token_rollup(spark, docs, tmp_path):
     ledger = token_rollup.TokenLedger(spark, f"file://{tmp_path}/ledger")
     assert ledger.totals().count() == 0
