@@ -83,6 +83,11 @@ def imports(spark: SparkSession, d: str) -> DataFrame:
     return calls(spark, d).select(F.col("src_pkg").alias("pkg"), F.col("dst_pkg").alias("imp")).distinct()
 
 
+def import_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Every import of one package by another; no other row is left out."""
+    return materialize(imports(spark, d).where("pkg <> imp").select(F.col("pkg").alias("src"), F.col("imp").alias("dst")), "imports")
+
+
 def nation_edges(spark: SparkSession, d: str) -> DataFrame:
     """Supplier nation to customer nation where trade is well above the average; 25 nodes."""
     rows = _t(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(_t(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
@@ -470,6 +475,36 @@ def focus(spark, d):
     return G.focus(nation_edges(spark, d), "n7", 2)
 
 
+# The same operators on the whole import graph, where recursive SQL is too slow; tests hold them to brute force.
+# Packages of Brand#1 stand for entry points and those of Brand#25 for sinks; a brand is a community.
+
+
+def _brand(e: DataFrame, brand: str) -> DataFrame:
+    return G.nodes_of(e).where(F.col("node").startswith(f"{brand}/"))
+
+
+_ON_IMPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "blast_radius": G.blast_radius,
+    "hotspots": G.hotspots,
+    "strong_components": G.strong_components,
+    "clusters": lambda e: G.clusters(e, G.strong_components(e)),
+    "layers": lambda e: G.layers(e, G.strong_components(e)),
+    "layer_skips": lambda e: G.layer_skips(e, G.layers(e, G.strong_components(e))),
+    "matrix_order": lambda e: G.matrix_order(e, G.layers(e, G.strong_components(e))),
+    "betweenness": lambda e: G.betweenness(e).select("node", F.round("score", 6).alias("score")),
+    "communities": lambda e: G.communities(e).select("node", "community"),
+    "modularity": lambda e: G.modularity(e, G.nodes_of(e).withColumn("community", F.substring_index("node", "/", 1))).select(F.round("q", 8).alias("q")),
+    "import_cycles": lambda e: G.import_cycles(e, G.strong_components(e)),
+    "trace": lambda e: G.trace(e, _brand(e, "Brand#1").select(F.col("node").alias("start")), _brand(e, "Brand#25")),
+    "focus": lambda e: G.focus(e, "Brand#1/7", 2),
+}
+for _name, _run in _ON_IMPORTS.items():
+
+    @query(f"{_name}_imports")
+    def _on_imports(spark, d, run=_run):
+        return run(import_edges(spark, d))
+
+
 # --- design -------------------------------------------------------------------
 
 from sparkloom.operators import design as D  # noqa: E402
