@@ -1,17 +1,19 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
-With radius r, each of the 64 bit positions gets a random non-zero vector of r + 1
-bits. Every non-zero vector v of r + 1 bits makes a table, whose mask has the
-positions whose vectors have an odd product with v. Any r positions span less
-than the whole space, so some v is orthogonal to all of them: two fingerprints
-that differ in at most r bits agree under that mask and meet in that table. No
-pair within the radius is ever missed.
-
-Links are not listed pair by pair. Each member of a bucket is compared with a few
-members that stand for the bucket; verified links give components. Only where a
-bucket holds several components, members outside its largest component are
-compared with its other members in a join that emits verified links alone. That
-covers every pair that could still join two components.
+With radius r, each of the 64 bit positions gets a non-zero vector of r + 1 bits,
+every vector equally often but for one. Every non-zero vector v of r + 1 bits makes a
+table, whose mask has the positions whose vectors have an odd product with v, about
+half of them. Any r positions span less than the whole space, so some v is orthogonal
+to all of them: two fingerprints that differ in at most r bits agree under that mask
+and meet in that table. No pair within the radius is ever missed.
+
+Links are not listed pair by pair. One pass over all buckets keeps the smallest and
+the largest member of each; a bucket of two is settled by that. Members of larger
+buckets are compared with a few members that stand for the bucket; verified links give
+components. Only where a bucket holds several components, members outside its largest
+one are joined with its other members on the bits of r + 1 blocks, one of which agrees
+in any pair within the radius, and verified links alone come out. That covers every pair
+that could still join two components.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.arrow import small_batches
-from sparkloom.llm.skew import lookup
+from sparkloom.llm.skew import lookup, unused
 from sparkloom.operators.components import connected_components
 from sparkloom.plans.tables import discard, drop_shuffles, materialize
 
@@ -71,9 +73,19 @@ def fingerprints(documents: DataFrame, words: int = 4, id_col: str = "doc_id", t
 
 def masks(radius: int, seed: int = 7) -> list[int]:
     """The 2 ** (radius + 1) - 1 masks of the covering tables."""
-    rng = random.Random(seed)
-    vectors = [rng.randrange(1, 1 << (radius + 1)) for _ in range(64)]
-    return [sum(1 << i for i, x in enumerate(vectors) if (x & v).bit_count() % 2) for v in range(1, 1 << (radius + 1))]
+    last = (1 << (radius + 1)) - 1
+    vectors = [1 + i % last for i in random.Random(seed).sample(range(max(64, last)), 64)]
+    return [sum(1 << i for i, x in enumerate(vectors) if (x & v).bit_count() % 2) for v in range(1, last + 1)]
+
+
+def blocks(radius: int) -> list[int]:
+    """Disjoint masks that cover all positions; two fingerprints within the radius agree under one of them."""
+    return [sum(1 << i for i in range(b, 64, radius + 1)) for b in range(radius + 1)]
+
+
+def _under(masks: list[int]):
+    """One key for each mask: the number of the mask and the fingerprint's bits under it, hashed."""
+    return F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)])
 
 
 def _distance(a: str, b: str):
@@ -86,29 +98,34 @@ def covering_links(points: DataFrame, radius: int) -> tuple[DataFrame, DataFrame
     Returns two tables of ``src, dst``: links to members that stand for buckets, and
     the links between what those left apart.
     """
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks(radius))])
-    posts = points.select("fp", F.explode(tables).alias("b")).select("fp", "b.t", "b.key")
+    # keys are hashes: a clash makes a bucket larger and no link, for every link is verified
+    posts = points.select("fp", F.explode(_under(masks(radius))).alias("key"))
+    # lo and hi are equal in nearly all rows of this exchange, which compresses to about one key and one fingerprint
+    seen = posts.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    seen = materialize(seen, "simhash-buckets")
+    # every later step reads the members of buckets of three or more alone
+    crowd = materialize(posts.join(seen.where("n > 2").select("key"), "key"), "simhash-crowd")
     rng = random.Random(11)
     orders = [0, -1] + [_signed(rng.getrandbits(64)) for _ in range(STANDS - 2)]
-    stands = posts.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.col("fp").bitwiseXOR(F.lit(o))).bitwiseXOR(F.lit(o)).alias(f"s{i}") for i, o in enumerate(orders)]).where("n > 1")
+    stands = crowd.groupBy("key").agg(*[F.min(F.col("fp").bitwiseXOR(F.lit(o))).bitwiseXOR(F.lit(o)).alias(f"s{i}") for i, o in enumerate(orders)])
     stands = materialize(stands, "simhash-stands")
-    pairs = posts.join(stands, ["t", "key"]).select("fp", F.explode(F.array_distinct(F.array(*[f"s{i}" for i in range(STANDS)]))).alias("s"))
+    pairs = crowd.join(stands, "key").select("fp", F.explode(F.array_distinct(F.array(*[f"s{i}" for i in range(STANDS)]))).alias("s"))
+    pairs = pairs.union(seen.where("n = 2").select("lo", "hi"))
     near = pairs.where((F.col("fp") != F.col("s")) & (_distance("fp", "s") <= radius))
     first = materialize(near.select(F.greatest("fp", "s").alias("src"), F.least("fp", "s").alias("dst")).distinct(), "simhash-links")
     parts = materialize(connected_components(first), "simhash-parts")
-    # members of buckets with their component so far; only buckets with several components matter any more
-    member = points.join(parts.select(F.col("node").alias("fp"), F.col("component").alias("c")), "fp", "left").select("fp", F.coalesce("c", "fp").alias("c"))
+    # members with their component so far; only buckets with several components matter any more
+    member = crowd.join(parts.select(F.col("node").alias("fp"), F.col("component").alias("c")), "fp", "left").select("key", "fp", F.coalesce("c", "fp").alias("c"))
     member = materialize(member, "simhash-members")
-    posts = member.select("fp", "c", F.explode(tables).alias("b")).select("fp", "c", "b.t", "b.key")
-    mixed = posts.groupBy("t", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t", "key")
-    mixed = materialize(mixed, "simhash-mixed")
-    left = materialize(posts.join(mixed, ["t", "key"]), "simhash-left")
-    sizes = left.groupBy("t", "key", "c").agg(F.count(F.lit(1)).alias("n"))
-    largest = materialize(sizes.groupBy("t", "key").agg(F.max(F.struct("n", "c")).alias("m")).select("t", "key", F.col("m.c").alias("top")), "simhash-largest")
-    outside = materialize(left.join(largest, ["t", "key"]).where("c <> top").select("t", "key", F.col("fp").alias("fp2"), F.col("c").alias("c2")), "simhash-outside")
-    close = outside.join(left, ["t", "key"]).where((F.col("c") != F.col("c2")) & (_distance("fp", "fp2") <= radius))
+    mixed = materialize(member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "simhash-mixed")
+    left = materialize(member.join(mixed, "key"), "simhash-left")
+    sizes = left.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+    largest = materialize(sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("m")).select("key", F.col("m.c").alias("top")), "simhash-largest")
+    split = left.withColumn("part", F.explode(_under(blocks(radius))))
+    outside = materialize(split.join(largest, "key").where("c <> top").select("key", "part", F.col("fp").alias("fp2"), F.col("c").alias("c2")), "simhash-outside")
+    close = outside.join(split, ["key", "part"]).where((F.col("c") != F.col("c2")) & (_distance("fp", "fp2") <= radius))
     second = materialize(close.select(F.greatest("c", "c2").alias("src"), F.least("c", "c2").alias("dst")).distinct(), "simhash-more")
-    discard(stands, member, mixed, left, largest, outside)
+    discard(seen, crowd, stands, member, mixed, left, largest, outside)
     drop_shuffles(points.sparkSession)
     return parts.select(F.col("node").alias("src"), F.col("component").alias("dst")), second
 
@@ -139,7 +156,11 @@ def near_duplicates(documents: DataFrame, radius: int = 4, words: int = 4, id_co
 
 
 def without_near_duplicates(documents: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id names their component, and rows with a null id, with all columns of ``documents``."""
+    """The rows whose id names their component, and rows with a null id, with all columns of ``documents``.
+
+    Rows that repeat the id that stays are all kept: they are that document.
+    """
     found = near_duplicates(documents, radius, words, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents[id_col].cast("long") == F.col("_gone"), "left_anti")
+    x = unused(documents)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(f"{x}gone")).distinct()
+    return documents.join(gone, documents[id_col].cast("long") == F.col(f"{x}gone"), "left_anti")

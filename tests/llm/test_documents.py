@@ -129,7 +129,10 @@ def test_fingerprints():
 
 def test_masks_cover():
     masks, r = simhash.masks(4), random.Random(3)
-    assert len(masks) == 31
+    assert len(masks) == 31 and all(32 <= m.bit_count() <= 34 for m in masks)
+    parts = simhash.blocks(4)
+    assert sum(parts) == (1 << 64) - 1 and len(parts) == 5
+    assert all(2 ** (k + 1) - 1 == len(simhash.masks(k)) for k in (0, 1, 6))
     for _ in range(5000):
         diff = sum(1 << b for b in r.sample(range(64), r.randint(0, 4)))
         assert any(not diff & m for m in masks)
