@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import html_text, pivot_index, warc
 
-COST = {"*": -0.1}
+WEIGHTS = html_text.fit([])
 
 
 @pytest.mark.parametrize("page, want", [
@@ -21,33 +21,87 @@ COST = {"*": -0.1}
     ("<div class='page has-sidebar'><div class='sidebar'>s s</div><p>body text here</p></div>", "body text here"),
     ("<script>var t='</p>';</script><p>x</p><style>p{}</style >", "x"), ("<p>a<!-- <p>no</p> -->b</p>", "ab"), ("<p>a<!-- open", "a"), ("<script>never closed", ""),
     ("<a \"broken <p>hi</p>", "hi"), ("<article><header><h1>T</h1></header><p>x<aside>no</aside>y</p><ul><li>1<li>2</ul></article>", "T\n\nx\n\ny\n\n1\n\n2"),
+    # no article, main, or telling name
+    ("<div><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></div><p>First words.</p><p>Second ones.</p><p>Copyright 2024 by us</p>", "First words.\n\nSecond ones."),
+    ("<div><ul><li><a href=x>Home</a></li></ul></div><div><p>First words of it.</p><p>Second.</p></div><div>(c) 2024 Example</div>", "First words of it.\n\nSecond."),
+    ("<article><p>one</p></article><nav><a>x</a></nav><article><p>two words</p></article>", "one\n\ntwo words"), ("<h1>Before</h1><article><p>one two</p></article>", "Before\n\none two"),
+    ("<article><p>a</p><section class=comments><p>" + "long reply " * 500 + "</p></section></article>", "a"), ("<nav><a href=x>only a menu</a></nav>", ""),
     ("<p hidden>no</p><p>yes</p><p style='display:none'>no</p>", "yes"), ("<P>UP</P>", "UP"), ("<p>1 < 2</p>", "1 < 2"),
 ])
 def test_extract(page, want):
-    assert html_text.extract(page, COST) == want
+    assert html_text.extract(page, WEIGHTS) == want
 
 
 def test_best_run():
-    tokens = [(2, 0), ("p", None)] + [("x", None)] * 9 + [(5, 1), ("p", None), (4, 2), ("p", None), ("p", None)] + [("x", None)] * 9 + [(1, 3)]
     r = random.Random(1)
-    assert html_text.best_run(tokens, {"*": -1.0}) == (1, 2)
-    assert html_text.best_run([("p", None)], {"*": -1.0}) is None
-    for _ in range(200):
-        seq, k = [], 0
-        for _ in range(12):
-            if r.random() < 0.5:
-                seq.append((r.randint(1, 4), k))
-                k += 1
-            else:
-                seq.append(("t", None))
-        score = [x if b is not None else -1.5 for x, b in seq]
-        best = max((sum(score[i : j + 1]) for i in range(len(seq)) for j in range(i, len(seq))), default=0)
-        got = html_text.best_run(seq, {"*": -1.5})
-        if got is None:
-            assert best <= 0
+    assert html_text.best_run([2, -9, 5, -1, 4, -1, -9, 1]) == (2, 4) and html_text.best_run([-1.0]) is None and html_text.best_run([]) is None
+    for _ in range(300):
+        score = [r.choice([-3, -1.5, -0.5, 1, 2, 4]) for _ in range(r.randint(1, 12))]
+        best = max(sum(score[i : j + 1]) for i in range(len(score)) for j in range(i, len(score)))
+        got = html_text.best_run(score)
+        assert best <= 0 if got is None else sum(score[got[0] : got[1] + 1]) == best
+
+
+def brute_extract(page, weights):
+    """Cut negative elements from the inside out on a tree, then try every run."""
+    got = html_text.read(page)
+    p = [weights.probability(x) for x in got.paths]
+    tree, open_ = [], {}
+    level = [tree]
+    for i, (kind, path, ref, n, text) in enumerate(got.tokens):
+        if kind == "o" and any(t[0] == "c" and t[2] == i for t in got.tokens):
+            level[-1].append([])
+            level.append(level[-1][-1])
+            level[-1].append((-weights.price * max(0.01, 1 - p[path]), None, i))
+            open_[i] = n
+        elif kind == "c":
+            level[-1].append((-weights.price * max(0.01, 1 - p[path]), None, n))
+            level.pop()
         else:
-            at = {b: i for i, (_, b) in enumerate(seq) if b is not None}
-            assert sum(score[at[got[0]] : at[got[1]] + 1]) == best
+            level[-1].append((max(1e-6, 2 * p[path] - 1) * n, (ref, text, n), i) if kind == "w" else (-weights.price * max(0.01, 1 - p[path]), None, i))
+
+    def flat(node):
+        out = [y for x in node for y in (flat(x) if isinstance(x, list) else [x])]
+        plain = node is tree or node[-1][2] is True
+        return [] if not plain and sum(x[0] for x in out) < 0 else out
+
+    left = flat(tree)
+    runs = [(sum(x[0] for x in left[i : j + 1]), -i, -j) for i in range(len(left)) for j in range(i, len(left))]
+    if not runs or max(runs)[0] <= 0:
+        return ""
+    top = max(x[0] for x in runs)
+    _, i, j = max(x for x in runs if x[0] > top - 1e-9)
+    inside = [x[1][0] for x in left[-i : -j + 1] if x[1] and x[1][2]]
+    texts = {}
+    for _, word, _ in left:
+        if word and inside and inside[0] <= word[0] <= inside[-1]:
+            texts[word[0]] = texts.get(word[0], "") + word[1]
+    return "\n\n".join(y for y in (" ".join(x.split()) for _, x in sorted(texts.items())) if y)
+
+
+def test_extract_against_brute_force():
+    r = random.Random(8)
+    price = html_text.Weights(WEIGHTS.by, WEIGHTS.bias, 3.0)
+
+    def element(depth):
+        tag = r.choice(["div", "p", "ul", "li", "nav", "article", "section", "span", "a", "div class=ad", "div class=notice", "h1", "form"])
+        inner = "".join(element(depth + 1) if depth < 4 and r.random() < 0.5 else " " + "w " * r.randint(0, 4) for _ in range(r.randint(1, 3)))
+        return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+    some = 0
+    for _ in range(250):
+        page = "".join(element(0) for _ in range(r.randint(1, 3)))
+        for weights in (WEIGHTS, price):
+            want = brute_extract(page, weights)
+            assert html_text.extract(page, weights) == want, page
+            some += bool(want)
+    assert some > 100
+
+
+def test_the_scan_decides():
+    page = "<div>Top line</div><div><div>in a box</div></div><article><p>Some text of the page.</p><div class=ad>buy</div></article><footer>below</footer>"
+    free = html_text.Weights(WEIGHTS.by, WEIGHTS.bias, 0.0)
+    assert html_text.extract(page, free) != html_text.extract(page, WEIGHTS) and "below" in html_text.extract(page, free)
 
 
 def test_main_text(spark):
@@ -58,10 +112,16 @@ def test_main_text(spark):
     assert html_text.main_text(rows.limit(0), html_text.learn(rows.limit(0))).count() == 0
 
 
-def test_weights_from_labelled_pages():
-    pages = [html_text.read(f"<div><a>x</a><a>y</a></div><article><p>{'w ' * n}</p><p>more text</p></article><div><a>z</a></div>") for n in range(5, 25)]
-    cost = html_text.fit(pages)
-    assert all(v < 0 for v in cost.values()) and cost["a"] < cost["p"]
+def test_weights_from_labelled_pages(spark):
+    pages = [f"<div class=zzz><p>{'x ' * 9}</p></div><article><p>{'w ' * n}</p><p>more text</p></article>" for n in range(5, 25)]
+    unseen = "<div class=zzz><p>words of a box</p></div><p>main text</p>"
+    assert "box" in html_text.extract(unseen, WEIGHTS)
+    weights = html_text.fit([html_text.read(x) for x in pages])
+    assert html_text.extract(unseen, weights) == "main text"
+    # null and repeated pages do not crowd out the others
+    rows = spark.createDataFrame([(x,) for x in pages + [None] * 500 + ["<article><p>same</p></article>"] * 500], "html string")
+    assert html_text.extract(unseen, html_text.learn(rows, sample=30)) == "main text"
+    assert vars(html_text.learn(rows.limit(0))) == vars(WEIGHTS)
 
 
 def b32(payload):
