@@ -195,20 +195,41 @@ def test_vectors(spark, monkeypatch):
     assert pivot_index.near_duplicate_vectors(frame.limit(0)).count() == 0
 
 
-def test_recall_at_the_threshold():
-    """Shared near pivots find at least 0.9 of pairs right at the threshold."""
-    r = np.random.default_rng(1)
+def unit(r, n):
+    x = r.normal(size=(n, 64))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    def unit(n):
-        x = r.normal(size=(n, 64))
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    base = pivot_index.choose_pivots(unit(4096))
-    x, z = unit(1000), unit(1000)
+def pairs_at(r, n, cos):
+    x, z = unit(r, n), unit(r, n)
     z -= (z * x).sum(1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
-    y = 0.9 * x + np.sqrt(1 - 0.81) * z
-    a, b = (np.argsort(-(v @ base.T), 1)[:, : pivot_index.NEAREST] for v in (x, y))
-    shared = (a[:, :, None] == b[:, None, :]).sum((1, 2)) >= pivot_index.SHARED
-    meets = (a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)
-    assert (shared & meets).mean() >= 0.95
+    return x, cos * x + np.sqrt(1 - cos * cos) * z
+
+
+@pytest.mark.parametrize("n", [2_000, 50_000, 10**9])
+def test_recall_at_the_threshold(n):
+    """Shared near pivots find at least 0.97 of pairs right at the threshold, whatever the number of pivots."""
+    r = np.random.default_rng(1)
+    pivots = pivot_index.number_of_pivots(n, 64)
+    base = pivot_index.choose_pivots(unit(r, 2 * pivots), pivots)
+    assert len(base) == pivots <= pivot_index.MOST
+    a, b = (pivot_index.nearest_pivots(v, base, pivot_index.NEAREST) for v in pairs_at(r, 1000, 0.9))
+    assert ((a[:, :, None] == b[:, None, :]).sum((1, 2)) >= pivot_index.SHARED).mean() >= 0.97
+
+
+def test_planted_links(spark):
+    """Pairs and a large group with their links, among unrelated vectors, in production settings."""
+    r = np.random.default_rng(3)
+    x, y = pairs_at(r, 300, 0.91)
+    centre = unit(r, 1)
+    group = centre + 0.02 * r.normal(size=(1500, 64))
+    rows = [(i, v.astype("float32").tolist()) for i, v in enumerate(np.concatenate([x, y, group, unit(r, 1500)]))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in pivot_index.near_duplicate_vectors(frame, 0.9).collect()}
+    v = np.array([x for _, x in rows], dtype="float64")
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = ((v @ v.T) >= 0.9).sum(1) - 1
+    found = np.array([got[i]["n_links"] for i in range(len(rows))])
+    assert (found <= want).all() and found[:600].sum() >= 0.95 * want[:600].sum() and found.sum() >= 0.98 * want.sum()
+    assert all(got[i]["component_id"] == (600 if 600 <= i < 2100 else i) for i in range(600, len(rows)))
