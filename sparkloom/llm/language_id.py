@@ -2,7 +2,7 @@
 
 Features are TF-IDF weights of character n-grams (1 to 3 characters of the
 lower-cased text, everything but letters as one space), hashed to ``2 ** BITS``
-places. Document frequencies come from all training documents. The weights are
+places (fewer where languages are very many, so that the state of the fit is bounded). Document frequencies come from all training documents. The weights are
 fitted on a bounded sample of labelled documents, stratified by language, with the
 follow-the-regularised-leader update and elastic-net penalties, which leaves most
 of them zero. A part of the sample is kept back to fit the temperature by which
@@ -18,18 +18,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.arrow import small_batches
+from sparkloom.llm.skew import unused
 
 BITS = 16
 #: No letter, or no text.
 UNKNOWN = "und"
 #: Labelled documents of each language in the sample: expected number, and bound (twice as many).
 PER_LANGUAGE = 1500
-#: Languages at most; the most frequent ones.
-LANGUAGES = 200
+#: Labelled documents in the sample of all languages: expected number. Beyond 200 languages each has its equal part.
+IN_ALL = 300_000
+#: Places times languages at most: half the numbers in the state of the fit.
+STATE = 1 << 24
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 1e-4
 #: One of this many sampled documents serves to fit the temperature.
 CALIBRATE = 5
@@ -44,7 +47,12 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+def places_for(languages: int) -> int:
+    """Bits of a hashed n-gram for this many languages; none is left out however many there are."""
+    return max(8, min(BITS, (STATE // max(1, languages)).bit_length() - 1))
+
+
+def features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray] | None:
     """Hashed n-grams and their counts; None for a null text or one without letters."""
     if not text:
         return None
@@ -58,12 +66,12 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     chars = np.concatenate(([32], chars[keep], [32])).astype("uint64")
     if len(chars) > 2 and chars[-2] == 32:
         chars = chars[:-1]
-    mix, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - BITS)
+    mix, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - bits)
     one = chars + np.uint64(1)
     two = one[:-1] * np.uint64(0x110001) + one[1:]
     three = two[:-1] * np.uint64(0x110003) + one[2:]
     places = np.concatenate([(one * mix) >> shift, (two * mix) >> shift, (three * mix) >> shift])
-    counts = np.bincount(places.astype("int64"), minlength=1 << BITS)
+    counts = np.bincount(places.astype("int64"), minlength=1 << bits)
     at = np.flatnonzero(counts)
     return at, counts[at]
 
@@ -82,8 +90,7 @@ class Model:
         return at, x / np.sqrt((x * x).sum())
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = features(text)
-        if found is None or not self.languages:
+        if not self.languages or (found := features(text, len(self.idf).bit_length() - 1)) is None:
             return UNKNOWN, 0.0
         at, x = self.row(found)
         z = (x @ self.weights[at] + self.bias) / self.temperature
@@ -146,44 +153,49 @@ def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Learn from the text and non-null language of documents that are not held out.
 
     Counts and document frequencies cover all of them; the fit uses a sample whose
-    size is ``per_language`` rows of each language on average and at most twice that.
-    Without any training row the model knows no language.
+    size is ``per_language`` rows of each language on average and at most twice that,
+    chosen by a hash of id and text: repeated rows, ids and null ids are chosen like
+    others, and a repeated row once. Without any training row the model knows no language.
     """
     small_batches(documents.sparkSession)
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Model()
-    languages = sorted(r["lang"] for r in counts)
+    languages = sorted(counts)
+    bits, per_language = places_for(len(languages)), max(1, min(per_language, IN_ALL // len(languages)))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = np.zeros((1 << BITS) + 1, "int64")
+        df = np.zeros((1 << bits) + 1, "int64")
         for batch in batches:
             for text in batch["text"]:
-                if (found := features(text)) is not None:
+                if (found := features(text, bits)) is not None:
                     df[found[0]] += 1
                     df[-1] += 1
         at = np.flatnonzero(df)
         yield pd.DataFrame({"at": at.astype("int32"), "df": df[at]})
 
     df = rows.select("text").mapInPandas(frequencies, "at int, df long").groupBy("at").agg(F.sum("df").alias("df")).toPandas()
-    full = np.zeros((1 << BITS) + 1)
+    full = np.zeros((1 << bits) + 1)
     full[df["at"].to_numpy()] = df["df"].to_numpy()
     idf = np.log((1 + full[-1]) / (1 + full[:-1])) + 1
 
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sample = rows.where(F.col("lang").isin(languages)).withColumn("h", order).where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
+    spark = documents.sparkSession
+    share = spark.createDataFrame([(lang, min(1.0, per_language / n) * float(1 << 30)) for lang, n in counts.items()], "lang string, share double")
+    h = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    sample = rows.withColumn("h", h).join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share"))
+    # repeats meet map-side; of what is left a language has twice its rows at most
+    sample = sample.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    sample = sample.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= 2 * per_language)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got, taken = [], dict.fromkeys(languages, 0)
+        got = []
         for batch in batches:
             for h, lang, text in zip(batch["h"], batch["lang"], batch["text"], strict=True):
-                taken[lang] += 1
-                if taken[lang] <= 2 * per_language and (found := features(text)) is not None:
+                if (found := features(text, bits)) is not None:
                     got.append((h, lang, (found[0].astype("int32"), found[1].astype("float32"))))
-        got.sort(key=lambda r: (r[0], r[1], len(r[2][0])))
+        got.sort(key=lambda r: (r[0], r[1]))
         model = fit([r[1:] for r in got], idf, languages)
         out = io.BytesIO()
         np.savez_compressed(out, weights=model.weights, bias=model.bias, temperature=model.temperature)
@@ -221,5 +233,6 @@ def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
 def in_known_language(documents: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows whose text is in a known language with at least this score, with the columns of ``documents``."""
     small_batches(documents.sparkSession)
-    rows = documents.withColumn("_lang", predicted(F.col(text_col), model))
-    return rows.where((F.col("_lang.lang_pred") != UNKNOWN) & (F.col("_lang.score") >= least)).drop("_lang")
+    x = unused(documents)
+    rows = documents.withColumn(f"{x}lang", predicted(F.col(f"`{text_col}`"), model))
+    return rows.where((F.col(f"{x}lang.lang_pred") != UNKNOWN) & (F.col(f"{x}lang.score") >= least)).drop(f"{x}lang")
