@@ -22,16 +22,17 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.skew import unused
 from sparkloom.plans.tables import drop_shuffles, materialize
 
 #: Labelled documents of each domain that the classifier is fitted on, on average; twice as many in all at most.
 PER_DOMAIN = 1500
-#: Words with a weight: the most frequent ones in the sample.
-VOCABULARY = 20_000
-#: Tokens whose evidence counts in full; longer texts are scaled down to this many.
-FULL = 400
-#: Length of a step, rounds at most, and the relative error of every total at which the descent ends.
-STEP, ROUNDS, TOLERANCE = 1.7, 60, 2e-3
+#: Places that words are hashed to: the rows of the table of weights, hence a bound of what is broadcast.
+PLACES = 1 << 18
+#: Words of a text do not speak independently: n of them count as n HALF / (n + HALF), at every length alike.
+HALF = 400
+#: Length of a step, rounds after which a descent that still moves is an error, and the relative error of every total at which it ends.
+STEP, ROUNDS, TOLERANCE = 1.7, 400, 2e-3
 #: Totals that move by less than this part of the error allowed stand still.
 STILL = 1e-2
 #: Log prior of a domain without labels.
@@ -63,8 +64,13 @@ def _feature(run: Column) -> Column:
     return F.when(capitals, F.lit("<CAPITALS>")).otherwise(F.lower(run))
 
 
+def _place(run: Column) -> Column:
+    """The place of a run's feature; null for a null run."""
+    return F.when(run.isNotNull(), F.pmod(F.xxhash64(_feature(run)), F.lit(PLACES)).cast("int"))
+
+
 def classifier(documents: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = DOMAINS, id_col: str = "doc_id", text_col: str = "text", per_domain: int = PER_DOMAIN) -> tuple[DataFrame, list[float]]:
-    """Word weights ``feature, w_0, w_1, ...`` (at most ``VOCABULARY`` rows) from ``labelled`` (id, ``domain``), and log priors.
+    """Word weights ``place, w_0, w_1, ...`` (at most ``PLACES`` rows) from ``labelled`` (id, ``domain``), and log priors.
 
     Weights are log-likelihood ratios against the mean over domains, with one added to
     counts; every domain has the same say in them, however many labels it has. Priors
@@ -74,20 +80,20 @@ def classifier(documents: DataFrame, labelled: DataFrame, domains: tuple[str, ..
     known = labelled.where(F.col("domain").isin(*domains)).select(F.col(id_col).alias("_id"), "domain")
     counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     if not counts:
-        return documents.sparkSession.createDataFrame([], "feature string, " + ", ".join(f"w_{k} double" for k in range(len(domains)))), [0.0] * len(domains)
+        return documents.sparkSession.createDataFrame([], "place int, " + ", ".join(f"w_{k} double" for k in range(len(domains)))), [0.0] * len(domains)
     share = F.create_map(*[F.lit(x) for d, n in counts.items() for x in (d, min(1.0, per_domain / n))])[F.col("domain")]
     h = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
     # at most twice the documented number of rows, hence broadcast
     sample = known.withColumn("_h", h).where(F.col("_h") < share * float(1 << 30)).orderBy("_h", "_id", "domain").limit(2 * per_domain * len(domains)).select("_id", "domain")
     rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    words = rows.select("domain", F.explode(_tokens(F.col("_text"))).alias("run")).select("domain", _feature(F.col("run")).alias("feature"))
-    seen = words.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("domain") == d, 1)).alias(f"n_{k}") for k, d in enumerate(domains)])
-    top = materialize(seen.orderBy(F.desc("n"), "feature").limit(VOCABULARY), "mixing-words")
+    words = rows.select("domain", F.explode(_tokens(F.col("_text"))).alias("run")).select("domain", _place(F.col("run")).alias("place"))
+    seen = words.groupBy("place").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n_{k}") for k, d in enumerate(domains)])
+    top = materialize(seen, "mixing-words")
     sums = top.agg(*[F.sum(f"n_{k}") for k in range(len(domains))], F.count(F.lit(1))).first()
     logs = [F.log((F.col(f"n_{k}") + 1) / F.lit(float((sums[k] or 0) + (sums[len(domains)] or 0) + 1))) for k in range(len(domains))]
     mean = sum(logs[1:], logs[0]) / len(domains)
     priors = [math.log((counts[d] + 1) / (sum(counts.values()) + len(domains))) if d in counts else NEVER for d in domains]
-    return materialize(top.select("feature", *[(x - mean).alias(f"w_{k}") for k, x in enumerate(logs)]), "mixing-weights"), priors
+    return materialize(top.select("place", *[(x - mean).alias(f"w_{k}") for k, x in enumerate(logs)]), "mixing-weights"), priors
 
 
 def posteriors(documents: DataFrame, weights: DataFrame, priors: list[float], domains: tuple[str, ...] = DOMAINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,11 +103,11 @@ def posteriors(documents: DataFrame, weights: DataFrame, priors: list[float], do
     """
     # the hash is taken before texts are exploded, not once for each token
     rows = documents.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), _tokens(F.col(text_col)).alias("_runs"))
-    rows = rows.select("_id", "_h", F.explode_outer("_runs").alias("run")).select("_id", "_h", "run", _feature(F.col("run")).alias("feature"))
-    rows = rows.join(F.broadcast(weights), "feature", "left")
+    rows = rows.select("_id", "_h", F.explode_outer("_runs").alias("run")).select("_id", "_h", "run", _place(F.col("run")).alias("place"))
+    rows = rows.join(F.broadcast(weights), "place", "left")
     sums = rows.groupBy("_id", "_h").agg(F.count("run").alias("tokens"), *[F.sum(F.coalesce(f"w_{k}", F.lit(0.0))).alias(f"z_{k}") for k in range(len(domains))])
-    scaled = [F.col(f"z_{k}") * (F.lit(float(FULL)) / F.greatest(F.lit(float(FULL)), F.col("tokens"))) + F.lit(priors[k]) for k in range(len(domains))]
-    top = F.greatest(*scaled)
+    scaled = [F.col(f"z_{k}") * (F.lit(float(HALF)) / (F.col("tokens") + HALF)) + F.lit(priors[k]) for k in range(len(domains))]
+    top = F.greatest(*scaled, scaled[0])
     sums = sums.select("_id", "_h", "tokens", *[F.exp(z - top).alias(f"e_{k}") for k, z in enumerate(scaled)])
     total = sum((F.col(f"e_{k}") for k in range(1, len(domains))), F.col("e_0"))
     return sums.select("_id", "_h", "tokens", *[(F.col(f"e_{k}") / total).alias(f"p_{k}") for k in range(len(domains))])
@@ -158,6 +164,8 @@ def fit_rates(members: DataFrame, targets: list[float], cap: float, budget: floa
             rows = written = materialize(rows, "mixing-rates")
             steps = []
         now = totals(rows)
+    else:
+        raise RuntimeError(f"mixing: totals {now} still move after {rounds} steps towards {wanted}")
     return rows, now, wanted
 
 
@@ -183,8 +191,12 @@ def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], ca
 
 
 def mixed(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], cap: float = 1.0, budget: float | None = None, anchor: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``documents``, each as often as its copies say, with its columns."""
-    found = mix(documents, labelled, targets, cap, budget, anchor, id_col, text_col).where("copies > 0").select(F.col("_id").alias("_mix_id"), F.col("_h").alias("_mix_h"), F.col("copies").alias("_mix_copies"))
-    rows = documents.join(found, F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.xxhash64(text_col) == F.col("_mix_h")))
-    rows = rows.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))) if cap > 1 else rows
+    """The rows of ``documents``, each as often as its copies say, with its columns.
+
+    Rows that repeat an id and a text share one rate, and each of them is copied by it.
+    """
+    found, x = mix(documents, labelled, targets, cap, budget, anchor, id_col, text_col).where("copies > 0"), unused(documents)
+    found = found.select(F.col("_id").alias(f"{x}id"), F.col("_h").alias(f"{x}h"), F.col("copies").alias(f"{x}copies"))
+    rows = documents.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(f"{x}id")) & (F.xxhash64(f"`{text_col}`") == F.col(f"{x}h")))
+    rows = rows.withColumn(f"{x}n", F.explode(F.sequence(F.lit(1), F.col(f"{x}copies")))) if cap > 1 else rows
     return rows.select(*[F.col(f"`{c}`") for c in documents.columns])
