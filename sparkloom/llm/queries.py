@@ -56,26 +56,49 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), "tokens", *names, "rate", "copies")
 
 
-def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Load two tokenizer versions, load one again, revise its counts and withdraw texts of under 200 characters."""
+def _rollup(spark: SparkSession, counts: list[DataFrame]) -> DataFrame:
+    """Load counts (``chars`` beside them) once and again, revise them by a begin and an end token, withdraw texts of under 200 characters and put them back with the revised counts."""
     from pyspark.sql import functions as F
 
-    from sparkloom.llm.token_rollup import TokenLedger, deleted, inserted, revised, with_counts
-    from sparkloom.plans.tables import new_path
+    from sparkloom.llm.token_rollup import TokenLedger, deleted, inserted, revised
+    from sparkloom.plans.tables import materialize, new_path
 
-    documents = table(spark, sf_dir, "documents")
     ledger = TokenLedger(spark, new_path(spark, "token-ledger"))
-    ledger.commit("load-words-1", inserted(with_counts(documents, "words-1")))
-    ledger.commit("load-words-1", inserted(with_counts(documents, "words-1")))
-    ledger.commit("load-pieces-2", inserted(with_counts(documents, "pieces-2")))
-    # the revision counts a begin and an end token as well
-    both = with_counts(documents, "words-1").withColumnRenamed("n_tokens", "old_tokens").withColumn("n_tokens", F.col("old_tokens") + 2)
-    ledger.commit("revise-words-1", revised(both))
-    short = documents.where(F.coalesce(F.length("text"), F.lit(0)) < 200)
-    ledger.commit("withdraw-short", deleted(with_counts(short, "pieces-2")))
+    for one in counts:
+        one = materialize(one, "token-counts")
+        name = one.select("tokenizer").first()
+        name = name["tokenizer"] if name else "none"
+        ledger.commit(f"load-{name}", inserted(one))
+        ledger.commit(f"load-{name}", inserted(one))
+        short = one.where("chars < 200")
+        ledger.commit(f"withdraw-{name}", deleted(short))
+        more = F.col("n_tokens") + 2
+        ledger.commit(f"revise-{name}", revised(one.where("chars >= 200").withColumn("old_tokens", F.col("n_tokens")).withColumn("n_tokens", more)))
+        ledger.commit(f"restore-{name}", inserted(short.withColumn("n_tokens", more)))
     return ledger.totals()
 
 
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the piece vocabulary and of blank-separated words."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from sparkloom.llm.token_rollup import with_counts, with_piece_counts
+
+    documents, chars = table(spark, sf_dir, "documents"), F.coalesce(F.length("text"), F.lit(0)).alias("chars")
+    return _rollup(spark, [with_piece_counts(documents, public_tokenizers.path("piece_bpe_32k.model"), "piece-bpe-32k", keep=(chars,)), with_counts(documents, "words-1", keep=(chars,))])
+
+
+def token_rollup_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ledger for tokenizers that SQL can count."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.llm.token_rollup import with_counts
+
+    documents, chars = table(spark, sf_dir, "documents"), F.coalesce(F.length("text"), F.lit(0)).alias("chars")
+    return _rollup(spark, [with_counts(documents, name, keep=(chars,)) for name in ("words-1", "pieces-2")])
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.simhash import near_duplicates
 
@@ -119,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pivot_index": op8_pivot_index,
     "op9_warc": op9_warc,
     "op10_license_scan": op10_license_scan,
+    "token_rollup_patterns": token_rollup_patterns,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -126,12 +150,12 @@ ORACLE_SQL: dict[str, str] = {
         with d as (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[ \t-\r]+', '', 'g') as norm from documents),
         w as (select *, first_value(doc_id) over (partition by norm order by length(t) desc, doc_id) as keep_id, count(*) over (partition by norm) as group_size from d)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from w""",
-    "op5_token_rollup": r"""
-        with d as (select source, lang, length(coalesce(text, '')) as chars,
+    "token_rollup_patterns": r"""
+        with d as (select source, lang,
             cast(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) as bigint) as words,
             cast(len(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]')) as bigint) as pieces from documents),
         u as (select source, lang, 'words-1' as tokenizer, 1 as n, words + 2 as t from d
-            union all select source, lang, 'pieces-2', 1, pieces from d where chars >= 200)
+            union all select source, lang, 'pieces-2', 1, pieces + 2 from d)
         select source, lang, tokenizer, cast(sum(n) as bigint) as n_docs, cast(sum(t) as bigint) as n_tokens from u group by all""",
     "op9_warc": r"""
         with p as (select page_id, coalesce(html, '') as h from pages),

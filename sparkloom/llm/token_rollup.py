@@ -50,7 +50,8 @@ class TokenLedger:
     """Batches of signed sums under ``path``, a folder in any store that Spark reaches.
 
     Null sources, languages and tokenizers are keys like others. Null counts are
-    zero. One writer at a time per batch name is assumed.
+    zero. Repeated rows are changes of their own. One writer at a time per batch name
+    is assumed; a name that is there is not written again, whatever the changes.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -91,12 +92,16 @@ class TokenLedger:
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
 
-def with_counts(documents: DataFrame, tokenizer: str, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """``source, lang, tokenizer, n_tokens`` of every row, counted by one of ``PATTERNS``."""
-    return documents.select(F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), counted(F.col(text_col), tokenizer).alias("n_tokens"))
+def _counts(documents: DataFrame, n: Column, tokenizer: str, source_col: str, lang_col: str, keep: tuple[Column, ...]) -> DataFrame:
+    return documents.select(F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), n.alias("n_tokens"), *keep)
 
 
-def with_piece_counts(documents: DataFrame, model_file: str, tokenizer: str, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def with_counts(documents: DataFrame, tokenizer: str, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep: tuple[Column, ...] = ()) -> DataFrame:
+    """``source, lang, tokenizer, n_tokens`` of every row and the columns ``keep``, counted by one of ``PATTERNS``."""
+    return _counts(documents, counted(F.col(text_col), tokenizer), tokenizer, source_col, lang_col, keep)
+
+
+def with_piece_counts(documents: DataFrame, model_file: str, tokenizer: str, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep: tuple[Column, ...] = ()) -> DataFrame:
     """The same with a sentencepiece model, begin and end ids left out."""
     small_batches(documents.sparkSession)
 
@@ -109,4 +114,4 @@ def with_piece_counts(documents: DataFrame, model_file: str, tokenizer: str, tex
             c.check(texts, raw)
             yield pd.Series([len(x) // 4 - 2 for x in raw])
 
-    return documents.select(F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), run(F.col(text_col)).alias("n_tokens"))
+    return _counts(documents, run(F.col(text_col)), tokenizer, source_col, lang_col, keep)
