@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.arrow import small_batches
 from sparkloom.llm.skew import lookup
-from sparkloom.plans.tables import materialize
+from sparkloom.plans.tables import discard, materialize
 
-#: Captures in one archive file at most: a file is read as one value.
-PER_FILE = 2000
+#: Payload bytes of one archive file at most, unless one payload has more: a file is read as one value.
+FILE_BYTES = 64 << 20
+#: Sizes of payloads (at most) that share a file.
+SIZES = (32 << 10, 2 << 20, 64 << 20, None)
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -74,7 +76,9 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, compression: str
 
     A revisit holds the HTTP head and no payload. White space and control characters
     in a URL, and a null URL, are percent-encoded in the target; the metadata record
-    has the page_id. A null page_id is written without that field.
+    has the page_id. A null page_id is written without that field. Payloads of like
+    size share files, so that no file holds more than ``FILE_BYTES`` of payloads or one
+    payload.
     """
     rows = decisions(pages, min_bytes, id_col, url_col, html_col)
     page, again = F.col("page_id"), F.col("refers_to").isNotNull()
@@ -92,15 +96,24 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, compression: str
     )
     fields = F.concat_ws("\r\n", F.concat(F.lit("page-id: "), page.cast("string")), F.lit("via: sparkloom"))
     three = _record("metadata", [("WARC-Record-ID", metadata), date, target, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/warc-fields"))], F.concat(fields, F.lit("\r\n")))
-    out = rows.select(F.concat_ws("\r\n\r\n", one, two, three).alias("value"))
-    out.write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", PER_FILE).text(path)
+    out = rows.select(F.concat_ws("\r\n\r\n", one, two, three).alias("value"), "payload_bytes")
+    low = -1
+    for k, high in enumerate(SIZES):
+        # the bound is pushed down to the pages: each is read, and otherwise handled in one of the writes
+        some = out.where((F.col("payload_bytes") > low) & (F.col("payload_bytes") <= high if high else F.lit(True))).select("value")
+        some.write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", max(1, FILE_BYTES // high) if high else 1).text(f"{path}/size-{k}")
+        low = high
 
 
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, uri string, date string, digest string, page_id long, http_bytes long, payload binary"
 
 
 def parse(data: bytes) -> Iterator[tuple]:
-    """Rows of ``RECORD`` in one archive, plain or gzipped whole or by record. Broken headers raise ValueError."""
+    """Rows of ``RECORD`` in one archive, plain or gzipped whole or by record.
+
+    Broken headers raise ValueError, an empty archive has no rows, and repeated records
+    come out repeatedly. The payload is null but for responses.
+    """
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     at = 0
@@ -141,7 +154,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     frame = pd.DataFrame(rows[start : start + 300], columns=names)
                     yield frame.astype({"page_id": "Int64", "http_bytes": "Int64"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content")
     rows = files.mapInPandas(run, RECORD)
     return rows.withColumn("payload_bytes", F.coalesce(F.length("payload").cast("long"), F.col("http_bytes"))).withColumn("payload_digest", F.coalesce(base32(F.sha1("payload")), F.regexp_replace("digest", "^sha1:", "")))
 
@@ -155,7 +168,7 @@ def captures(records: DataFrame) -> DataFrame:
     metadata record.
     """
     responses = records.where(F.col("type").isin("response", "revisit"))
-    response = responses.select(F.struct("record_id", "type", "refers_to", "uri", "date", "payload_bytes", "payload_digest", "payload").alias("response"), F.col("record_id").alias("_id"), F.col("concurrent_to").alias("_request"))
+    response = responses.select(F.struct(*[c for c in ("record_id", "type", "refers_to", "uri", "date", "payload_bytes", "payload_digest", "payload") if c in records.columns]).alias("response"), F.col("record_id").alias("_id"), F.col("concurrent_to").alias("_request"))
     request = records.where("type = 'request'").select(F.col("record_id").alias("_request"), F.struct("record_id", "uri", "date").alias("request")).dropDuplicates(["_request"])
     metadata = records.where("type = 'metadata'").select(F.col("concurrent_to").alias("_id"), F.struct("record_id", "page_id").alias("metadata")).dropDuplicates(["_id"])
     return response.join(request, "_request", "left").join(metadata, "_id", "left").select("request", "response", "metadata")
@@ -165,12 +178,16 @@ def archive_round_trip(pages: DataFrame, path: str, min_bytes: int = 0) -> DataF
     """Write ``pages`` to archives in ``path``, read them back and resolve revisits to the page_id of their response."""
     write_warc(pages, path, min_bytes)
     spark = pages.sparkSession
-    rows = captures(read_records(spark, path)).where("request is not null").select(
-        F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
+    # archives are parsed once; the joins need no payloads
+    records = materialize(read_records(spark, path).drop("payload"), "warc-records")
+    whole = F.col("request").isNotNull() & F.col("metadata").isNotNull()
+    rows = captures(records).select(
+        F.when(whole, F.col("metadata.page_id")).otherwise(F.raise_error(F.lit("a capture lacks its request or metadata record")).cast("long")).alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"), F.col("response.record_id").alias("record_id"), F.col("response.refers_to").alias("ref"),
     )
     rows = materialize(rows, "warc-captures")
     wanted = rows.where("ref is not null").groupBy("ref").agg(F.count(F.lit(1)).alias("n"))
     targets = materialize(rows.where("record_type = 'response'").select(F.col("record_id").alias("ref"), F.col("page_id").alias("refers_to")).distinct().join(wanted, "ref"), "warc-targets")
+    discard(records)
     total = targets.agg(F.sum("n")).first()[0] or 0
     return lookup(rows, targets, "ref", "n", total, "page_id").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
