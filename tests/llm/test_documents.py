@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from array import array
 
 import numpy as np
@@ -101,8 +102,13 @@ def test_exact_dedup(docs, empty, monkeypatch):
         assert r["keep_id"] == (None if keep == float("inf") else keep) and r["group_size"] == n
         assert r["text_sha256"] == hashlib.sha256(norm.encode()).hexdigest() and r["kept"] == (r["doc_id"] == r["keep_id"])
     left = exact_dedup.deduplicated(docs)
-    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.where("doc_id < 10").collect()) == [1, 3, 6, 7, 8, 9, 9]
-    assert exact_dedup.exact_dedup(empty).count() == 0
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.where("doc_id < 10").collect()) == [1, 3, 6, 7, 8, 9]
+    assert all(r["keep_id"] == 0 and r["n"] == "x" and r["h"] == 1 for r in left.collect())
+    clash = docs.withColumn("_norm", F.lit(1)).withColumn("_sha", F.lit(2)).withColumn("_x_keep", F.lit(3)).withColumn("kept", F.lit(False)).withColumn("_hot_key", F.lit(4)).withColumn("_spread", F.lit(5))
+    assert {tuple(r)[-6:] for r in exact_dedup.deduplicated(clash).collect()} == {(1, 2, 3, False, 4, 5)}
+    nulls = docs.where("doc_id is null").select("doc_id", "text")
+    assert exact_dedup.deduplicated(nulls.union(nulls).union(docs.where("doc_id = 9").select("doc_id", F.concat("text", F.lit(" "))))).count() == 2
+    assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.deduplicated(empty).count() == 0
 
 
 def test_digest_collision(docs, monkeypatch):
@@ -187,8 +193,6 @@ def test_language_id(spark, docs, empty):
     assert model.languages == ["de", "en"] and (model.weights == 0).mean() > 0.5
     got = {r["doc_id"]: r for r in language_id.identify(train, model).collect()}
     assert all(got[i]["lang_pred"] == lang and 0.5 <= got[i]["score"] <= 1 for i, _, lang in rows)
-    import zlib
-
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, *_ in rows)
     messy = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model).collect()}
     assert {messy[i] for i in (4, 5, 6, 8)} == {"und"} and len(messy) == len({r[0] for r in ROWS})
@@ -198,6 +202,57 @@ def test_language_id(spark, docs, empty):
     assert language_id.identify(docs.where("doc_id = 1"), nothing).first()["lang_pred"] == "und"
 
 
+def test_many_languages(spark):
+    """No language is left out, and neither null ids nor repeated rows crowd out others."""
+    assert language_id.places_for(200) == 16 and language_id.places_for(10**5) == 8
+    words = [f"{chr(97 + a)}{chr(97 + b)}{chr(97 + a)}" for a in range(18) for b in range(14)]
+    rows = [(i, " ".join([w] * 6), f"l{i:03d}") for i, w in enumerate(words)]
+    rows += [(300 + i, " ".join([w] * 7), f"l{i:03d}") for i, w in enumerate(words)] + [(None, "zzz " * 4, "l000")] * 300 + [(1000, "yyy", "l001")] * 300
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), per_language=2)
+    want = {lang for i, _, lang in rows if i is None or zlib.crc32(str(i).encode()) % 4 != 2}
+    assert set(model.languages) == want and len(want) > 200 and np.isfinite(model.weights).all()
+
+
+def test_fit_against_coordinate_loops():
+    """The vectorised update equals the textbook one, coordinate by coordinate."""
+    r = np.random.default_rng(0)
+    idf = 1 + r.random(1 << 8)
+    rows = [("ab"[i % 2], (np.sort(r.choice(256, 5, False)) // 2 * 2 + i % 2, np.ones(5))) for i in range(40)]
+    rows = [(y, (np.unique(at), np.ones(len(np.unique(at))))) for y, (at, _) in rows]
+    model = language_id.fit(rows, idf, ["a", "b"])
+    z, n = {}, {}
+
+    def weight(key):
+        if abs(z.get(key, 0.0)) <= language_id.L1:
+            return 0.0
+        return -(z[key] - np.sign(z[key]) * language_id.L1) / ((language_id.BETA + np.sqrt(n.get(key, 0.0))) / language_id.ALPHA + language_id.L2)
+
+    data = [("ab".index(y), f) for y, f in rows]  # under 50 rows none is kept back
+    for _ in range(language_id.EPOCHS):
+        for y, (at, count) in data:
+            x = (1 + np.log(count)) * idf[at].astype("float32")
+            x = list(zip([*at, 256], [*(x / np.sqrt((x * x).sum())), 1.0], strict=True))
+            w = {(j, k): weight((j, k)) for j, _ in x for k in range(2)}
+            s = [sum(v * w[j, k] for j, v in x) for k in range(2)]
+            p = np.exp(np.array(s) - max(s))
+            p /= p.sum()
+            for k in range(2):
+                for j, v in x:
+                    g = v * (p[k] - (k == y))
+                    before = n.get((j, k), 0.0)
+                    z[j, k] = z.get((j, k), 0.0) + g - (np.sqrt(before + g * g) - np.sqrt(before)) / language_id.ALPHA * w[j, k]
+                    n[j, k] = before + g * g
+    want = np.array([[weight((j, k)) for k in range(2)] for j in range(257)])
+    assert np.allclose(model.weights, want[:256], atol=1e-4) and np.allclose(model.bias, want[256], atol=1e-4) and (want != 0).any()
+
+
+def test_held_out_accuracy(spark):
+    found = queries.op3_language_id(spark, "/root/testdata/sf0.001").where("held_out and lang_pred <> 'und'")
+    truth = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang").where("lang is not null")
+    both = found.join(truth, "doc_id").collect()
+    assert len(both) > 20 and sum(r["lang_pred"] == r["lang"] for r in both) >= 0.95 * len(both)
+
+
 def license_brute(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places, labels = [], set()
@@ -223,6 +278,48 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def brute_labels(text):
+    """Labels and score by the definition: pairs of a notice on near diagonals, merged, in a span not much longer than it."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    labels, score = set(), 0.0
+    for phrase, label in license_scan.PHRASES.items():
+        p = phrase.split()
+        if any(words[k : k + len(p)] == p for k in range(len(words))):
+            labels.add(label)
+            score = 1.0
+    for label, notice in license_scan.NOTICES:
+        t = notice.split()
+        pairs = {k: (a, b) for k, (a, b) in enumerate(zip(t, t[1:], strict=False)) if not {a, b} <= license_scan.WEAK}
+        hits = sorted((i - k, k, i) for i in range(len(words) - 1) for k, g in pairs.items() if g == (words[i], words[i + 1]))
+        runs = []
+        for d, k, i in hits:
+            if not runs or d - runs[-1][-1][0] > license_scan.NEAR:
+                runs.append([])
+            runs[-1].append((d, k, i))
+        for run in runs:
+            cover = len({k for _, k, _ in run}) / len(pairs)
+            length = max(i for *_, i in run) + 2 - min(i for *_, i in run)
+            if cover >= license_scan.COVER and length <= len(t) * 1.25 + license_scan.NEAR:
+                labels.add(label)
+                score = max(score, cover)
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_against_brute_force(spark):
+    r, texts = random.Random(12), []
+    for _, notice in license_scan.NOTICES * 4:
+        words = notice.split()
+        for _ in range(r.choice([0, 0, 1, 3])):
+            k = r.randrange(len(words))
+            words[k : k + r.choice([0, 1])] = r.choice([["oak"], [], ["oak", "fox"]])
+        texts.append(prose(r.random(), r.randint(0, 30)) + " " + " ".join(words).title() + ". " + prose(r.random(), 10))
+    texts += [license_scan.NOTICES[8][1] * 2, "all rights reserved " * 40, prose(3, 200_000) + " " + license_scan.NOTICES[13][1]]
+    got = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = [brute_labels(texts[x["doc_id"]]) for x in got]
+    assert all((x["labels"], pytest.approx(x["score"])) == want for x, want in zip(got, found, strict=True))
+    assert {x for labels, _ in found for x in labels.split(",")} >= {label for label, _ in license_scan.NOTICES}
+
+
 def test_mixing(spark, docs, empty):
     r = random.Random(4)
     bad = ["junk", "spam", "###", "SHOUT"]
@@ -243,6 +340,59 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty, labels.limit(0), {"good": 0.9, "poor": 0.1}).count() == 0
 
 
+def test_posteriors_against_brute_force(spark):
+    """Naive Bayes by its definition; the number of places divides 2 ** 64, so the sign of a hash does not matter."""
+    r = random.Random(7)
+    rows = [(i, " ".join(r.choice(WORDS[:9] if i % 2 else WORDS[6:] + ["SPAM!"]) for _ in range(r.randint(0, 900)))) for i in range(40)]
+    labels = [(i, "good" if i % 2 else "poor") for i in range(0, 40, 3)]
+    domains = ("good", "poor")
+
+    def places(text):
+        runs = re.findall(r"[0-9A-Za-z\x80-\U0010FFFF]+|[!-/:-@\[-`{-~]+", text)
+        return [xxhash.xxh64_intdigest(("<CAPITALS>" if len(x) > 1 and x == x.upper() != x.lower() else x.lower()).encode(), 42) % mixing.PLACES for x in runs]
+
+    counts = {d: {} for d in domains}
+    text = dict(rows)
+    for i, d in labels:
+        for p in places(text[i]):
+            counts[d][p] = counts[d].get(p, 0) + 1
+    seen = set(counts["good"]) | set(counts["poor"])
+    logs = {p: [np.log((counts[d].get(p, 0) + 1) / (sum(counts[d].values()) + len(seen) + 1)) for d in domains] for p in seen}
+    prior = [np.log((sum(x == d for _, x in labels) + 1) / (len(labels) + 2)) for d in domains]
+    frame, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, domain string")
+    got = mixing.posteriors(frame, *mixing.classifier(frame, known, domains), domains).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        at = places(text[x["_id"]])
+        z = np.array([sum(logs[p][k] - np.mean(logs[p]) for p in at if p in logs) * mixing.HALF / (len(at) + mixing.HALF) + prior[k] for k in range(2)])
+        p = np.exp(z - z.max())
+        assert x["tokens"] == len(at) and x["p_0"] == pytest.approx(p[0] / p.sum(), abs=1e-9)
+
+
+def test_texts_of_megabytes(spark):
+    rows = [(1, "quick fox, " * 300_000, "en", "a"), (2, "quick  fox,\n" * 300_000, "en", "a"), (3, "x" * 3_000_000, "en", "a"), (4, "", None, None), (5, "der alte fuchs schläft", "de", "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_dedup(frame).collect()} == {1: 2, 2: 2, 3: 3, 4: 4, 5: 5}
+    assert {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(frame).collect()}[1] == f"{simhash.fingerprint(rows[0][1], 4):016x}"
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(frame, language_id.train(frame)).collect()}[4] == "und"
+    assert {r["_id"]: r["tokens"] for r in mixing.mix(frame, spark.createDataFrame([(1, "good")], "doc_id long, domain string"), {"good": 1.0}).collect()}[1] == 900_000
+    assert {r["doc_id"]: r["n_words"] for r in license_scan.license_scan(frame).collect()} == {1: 600_000, 2: 600_000, 3: 1, 4: 0, 5: 4}
+    counts = token_rollup.with_piece_counts(frame, MODEL, "bpe", keep=(F.col("doc_id"),)).collect()
+    lib = piece_bpe.PieceCodec(MODEL).lib
+    assert {r["doc_id"]: r["n_tokens"] for r in counts} == {i: len(lib.encode(t)) for i, t, *_ in rows}
+
+
+def test_registered_rollup(spark, docs, tmp_path):
+    docs.drop("keep_id", "n", "h").write.parquet(f"{tmp_path}/documents.parquet")
+    lib, want = piece_bpe.PieceCodec(MODEL).lib, {}
+    for _, t, lang, source in ROWS:
+        for name, n in (("words-1", len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))), ("piece-bpe-32k", len(lib.encode(t or "")))):
+            x = want.setdefault((source, lang, name), [0, 0])
+            x[0] += 1
+            x[1] += n + 2
+    assert {(r["source"], r["lang"], r["tokenizer"]): [r["n_docs"], r["n_tokens"]] for r in queries.op5_token_rollup(spark, str(tmp_path)).collect()} == want
+
+
 def nearest_totals(members, targets, cap, budget):
     """Totals of the least squares by many small steps."""
     p, t = np.array([m[1:] for m in members]), np.array([m[0] for m in members], dtype=float)

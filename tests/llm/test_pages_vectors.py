@@ -150,6 +150,17 @@ def test_archives(spark, tmp_path, monkeypatch):
     assert warc.archive_round_trip(rows.limit(0), f"file://{tmp_path}/empty").count() == 0
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 4000)
+    monkeypatch.setattr(warc, "SIZES", (100, 1000, 4000, None))
+    pages = [(i, "http://a", "p" * n + str(i)) for i, n in enumerate([*[50] * 100, *[900] * 20, 3000, 3500, 20_000, 90_000])]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    got = warc.archive_round_trip(rows, f"file://{tmp_path}/w").collect()
+    assert {x["page_id"]: x["payload_bytes"] for x in got} == {i: len(h) for i, _, h in pages}
+    held = [sum(x[8] or 0 for x in warc.parse(f.read_bytes())) for f in sorted(tmp_path.glob("w/size-*/part-*"))]
+    assert all(n <= 4000 or n > 20_000 for n in held) and len(held) >= 5
+
+
 def test_parse_by_record_gzip():
     one = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: 27\r\n\r\nHTTP/1.1 200 OK\r\n\r\n\r\n\r\nbody\r\n\r\n"
     rows = list(warc.parse(gzip.compress(one) + gzip.compress(one)))
