@@ -16,10 +16,16 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set (tests)."""
+    """The cluster's shared folder; a folder of our own only in local mode where none is set (tests).
+
+    Elsewhere a missing setting raises RuntimeError: a folder of the driver's machine is not the executors'.
+    """
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="sparkloom-"))
     return _own[0]
