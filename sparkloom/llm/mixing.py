@@ -27,8 +27,9 @@ from sparkloom.plans.tables import drop_shuffles, materialize
 
 #: Labelled documents of each domain that the classifier is fitted on, on average; twice as many in all at most.
 PER_DOMAIN = 1500
-#: Places that words are hashed to: the rows of the table of weights, hence a bound of what is broadcast.
-PLACES = 1 << 18
+#: Places that words are hashed to, each held by its most frequent word: the rows of the table of weights, hence a bound of what is broadcast.
+#: More places let rarer words speak, which takes more good text for bad (README).
+PLACES = 1 << 15
 #: Words of a text do not speak independently: n of them count as n HALF / (n + HALF), at every length alike.
 HALF = 400
 #: Length of a step, rounds after which a descent that still moves is an error, and the relative error of every total at which it ends.
@@ -64,13 +65,13 @@ def _feature(run: Column) -> Column:
     return F.when(capitals, F.lit("<CAPITALS>")).otherwise(F.lower(run))
 
 
-def _place(run: Column) -> Column:
-    """The place of a run's feature; null for a null run."""
-    return F.when(run.isNotNull(), F.pmod(F.xxhash64(_feature(run)), F.lit(PLACES)).cast("int"))
+def _word(run: Column) -> Column:
+    """The hash of a run's feature; null for a null run."""
+    return F.when(run.isNotNull(), F.xxhash64(_feature(run)))
 
 
 def classifier(documents: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = DOMAINS, id_col: str = "doc_id", text_col: str = "text", per_domain: int = PER_DOMAIN) -> tuple[DataFrame, list[float]]:
-    """Word weights ``place, w_0, w_1, ...`` (at most ``PLACES`` rows) from ``labelled`` (id, ``domain``), and log priors.
+    """Word weights ``word, w_0, w_1, ...`` (at most ``PLACES`` rows) from ``labelled`` (id, ``domain``), and log priors.
 
     Weights are log-likelihood ratios against the mean over domains, with one added to
     counts; every domain has the same say in them, however many labels it has. Priors
@@ -80,20 +81,21 @@ def classifier(documents: DataFrame, labelled: DataFrame, domains: tuple[str, ..
     known = labelled.where(F.col("domain").isin(*domains)).select(F.col(id_col).alias("_id"), "domain")
     counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     if not counts:
-        return documents.sparkSession.createDataFrame([], "place int, " + ", ".join(f"w_{k} double" for k in range(len(domains)))), [0.0] * len(domains)
+        return documents.sparkSession.createDataFrame([], "word long, " + ", ".join(f"w_{k} double" for k in range(len(domains)))), [0.0] * len(domains)
     share = F.create_map(*[F.lit(x) for d, n in counts.items() for x in (d, min(1.0, per_domain / n))])[F.col("domain")]
     h = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
     # at most twice the documented number of rows, hence broadcast
     sample = known.withColumn("_h", h).where(F.col("_h") < share * float(1 << 30)).orderBy("_h", "_id", "domain").limit(2 * per_domain * len(domains)).select("_id", "domain")
     rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    words = rows.select("domain", F.explode(_tokens(F.col("_text"))).alias("run")).select("domain", _place(F.col("run")).alias("place"))
-    seen = words.groupBy("place").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n_{k}") for k, d in enumerate(domains)])
-    top = materialize(seen, "mixing-words")
+    words = rows.select("domain", F.explode(_tokens(F.col("_text"))).alias("run")).select("domain", _word(F.col("run")).alias("word"))
+    seen = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("domain") == d, 1)).alias(f"n_{k}") for k, d in enumerate(domains)])
+    held = seen.groupBy(F.pmod("word", F.lit(PLACES)).alias("place")).agg(F.max(F.struct("n", "word", *[f"n_{k}" for k in range(len(domains))])).alias("m"))
+    top = materialize(held.select("m.*"), "mixing-words")
     sums = top.agg(*[F.sum(f"n_{k}") for k in range(len(domains))], F.count(F.lit(1))).first()
     logs = [F.log((F.col(f"n_{k}") + 1) / F.lit(float((sums[k] or 0) + (sums[len(domains)] or 0) + 1))) for k in range(len(domains))]
     mean = sum(logs[1:], logs[0]) / len(domains)
     priors = [math.log((counts[d] + 1) / (sum(counts.values()) + len(domains))) if d in counts else NEVER for d in domains]
-    return materialize(top.select("place", *[(x - mean).alias(f"w_{k}") for k, x in enumerate(logs)]), "mixing-weights"), priors
+    return materialize(top.select("word", *[(x - mean).alias(f"w_{k}") for k, x in enumerate(logs)]), "mixing-weights"), priors
 
 
 def posteriors(documents: DataFrame, weights: DataFrame, priors: list[float], domains: tuple[str, ...] = DOMAINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,8 +105,8 @@ def posteriors(documents: DataFrame, weights: DataFrame, priors: list[float], do
     """
     # the hash is taken before texts are exploded, not once for each token
     rows = documents.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), _tokens(F.col(text_col)).alias("_runs"))
-    rows = rows.select("_id", "_h", F.explode_outer("_runs").alias("run")).select("_id", "_h", "run", _place(F.col("run")).alias("place"))
-    rows = rows.join(F.broadcast(weights), "place", "left")
+    rows = rows.select("_id", "_h", F.explode_outer("_runs").alias("run")).select("_id", "_h", "run", _word(F.col("run")).alias("word"))
+    rows = rows.join(F.broadcast(weights), "word", "left")
     sums = rows.groupBy("_id", "_h").agg(F.count("run").alias("tokens"), *[F.sum(F.coalesce(f"w_{k}", F.lit(0.0))).alias(f"z_{k}") for k in range(len(domains))])
     scaled = [F.col(f"z_{k}") * (F.lit(float(HALF)) / (F.col("tokens") + HALF)) + F.lit(priors[k]) for k in range(len(domains))]
     top = F.greatest(*scaled, scaled[0])
