@@ -80,7 +80,7 @@ def digest_of(items: Column, digits: int = 16) -> Column:
 
 def is_test_file(name: Column) -> Column:
     base = last_segment(name)
-    return base.endswith("_test.go") | base.startswith("test_") | base.contains(".test.") | base.contains(".spec.") | base.endswith("_test.py")
+    return base.endswith("_test.go") | base.startswith("test_") | base.contains(".test.") | base.contains(".spec.") | base.contains("_test.py")
 
 
 def is_comment(line: Column) -> Column:

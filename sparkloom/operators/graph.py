@@ -177,12 +177,15 @@ def betweenness(edges: DataFrame, max_nodes: int = 5000, parts: int = 8) -> Data
 def communities(edges: DataFrame, passes: int = 50) -> DataFrame:
     """``component, node, community``: local moving by modularity gain in the order of node names, one level.
 
+    A node moves to the community of a neighbour, its own among them, with the largest
+    gain above zero; of equal gains its own wins, then the smallest name.
     The method is sequential; each weakly connected component is a group of its own. A
     community is named by its smallest node.
     """
     from sparkloom.operators.components import connected_components
 
-    ids = materialize(nodes_of(edges).withColumn("id", F.xxhash64("node")), "community-ids")
+    # numbers given once and written are distinct, as hashes need not be
+    ids = materialize(nodes_of(edges).withColumn("id", F.monotonically_increasing_id()), "community-ids")
     a, b = ids.select(F.col("node").alias("src"), F.col("id").alias("i")), ids.select(F.col("node").alias("dst"), F.col("id").alias("j"))
     parts = connected_components(edges.join(a, "src").join(b, "dst"), "i", "j")
     rows = edges.join(a, "src").join(parts, F.col("i") == F.col("node")).select("component", "src", "dst")
@@ -202,17 +205,13 @@ def communities(edges: DataFrame, passes: int = 50) -> DataFrame:
             for x in names:
                 into: dict[str, float] = {}
                 for y, w in weight[x].items():
-                    if y != x:
-                        into[home[y]] = into.get(home[y], 0.0) + w
-                now = home[x]
-
-                def gain(c: str, x: str = x, into: dict = into) -> float:
-                    return into.get(c, 0.0) / m - total[c] * degree[x] / (2 * m * m)
-
-                base, best, top = gain(now), now, 0.0
-                for c in sorted(into):
-                    if c != now and gain(c) - base > top:
-                        best, top = c, gain(c) - base
+                    into[home[y]] = into.get(home[y], 0.0) + w
+                now = best = home[x]
+                top = 0.0
+                for c in [now] * (now in into) + sorted(set(into) - {now}):
+                    gain = into[c] / m - total[c] * degree[x] / (2 * m * m)
+                    if gain > top:
+                        best, top = c, gain
                 if best != now:
                     total[now] -= degree[x]
                     total[best] += degree[x]

@@ -48,6 +48,17 @@ def gathered(lines: DataFrame, start: str, lacking: str, reach: int = 4) -> Data
     return rows.where(~text.contains(lacking)).select("file", "n")
 
 
+def statements_lacking(lines: DataFrame, start: str, lacking: tuple[str, ...], reach: int = 4) -> DataFrame:
+    """``file, n``: lines with ``start`` that have none of ``lacking``, nor has any following line up to the first of them with ``)``."""
+    some = F.collect_list("line").over(_file().rowsBetween(1, reach))
+    ends = F.filter(F.transform(F.col("some"), lambda x, i: F.when(x.contains(")"), i)), lambda i: i.isNotNull())
+    rows = lines.withColumn("some", some).where(F.col("line").rlike(java(start)))
+    text = F.concat("line", F.array_join(F.slice("some", F.lit(1), F.coalesce(F.get(ends, F.lit(0)), F.lit(reach - 1)) + 1), ""))
+    for word in lacking:
+        rows = rows.where(~text.contains(word))
+    return rows.select("file", "n")
+
+
 def brace_depth(lines: DataFrame, opening: str = "{", closing: str = "}") -> DataFrame:
     """``file, n, depth``: open braces at the end of each line."""
     net = F.length(F.regexp_replace("line", f"[^{opening}]", "")) - F.length(F.regexp_replace("line", f"[^{closing}]", ""))

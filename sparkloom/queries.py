@@ -8,11 +8,13 @@ brands and users make small graphs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scalars as S
+from sparkloom.operators import file_rules as X
 from sparkloom.operators import graph as G
 from sparkloom.operators import line_rules as L
 from sparkloom.operators import relational as R
@@ -57,6 +59,29 @@ _BRANDS = """brands as (select p_brand as src, lead(p_brand) over (partition by
     edges as (select src, dst from brands where dst is not null and src <> dst)"""
 
 
+#: Sources beside the driver's tables, which hold no code: one file or more for every rule that reads lines.
+_CODE = [
+    ("app/models.py", "from django.db import models\nclass A(models.Model):\n    b = models.ForeignKey(B)\n\nclass C(models.Model):\n    d = models.ForeignKey(D, on_delete=X)\n    class Meta:\n        pass\n    def __str__(self):\n        return 'c'\n\nfor x in xs:\n    y = A.objects.get(x)\nz = A.objects.all()\nw = A.objects.raw(f\"select {x}\")\n"),
+    ("app/settings.py", "SECRET_KEY = 'abc'\nSECRET_KEY = os.environ['K']\n"), ("app/views.py", "SECRET_KEY = 'abc'\nassert x\nt = \"aB3kL9mN2pQr5tUv8wXy1zAcDeFgHiJoKsMqRuTw7Z4\"\n"),
+    ("app/test_views.py", "password = 'hunter22'\nassert x == 86400\ndef test_a():\n    pass\ndef test_b():\n    assert y\n"),
+    ("api/main.py", "from fastapi import FastAPI\n@app.get('/a')\nasync def a(x: dict):\n    time.sleep(1)\n@app.post('/b', response_model=B,\n  status_code=201)\ndef b(x): pass\n@app.put('/c')\ndef c(x): pass\napp.add(allow_origins=['*'])\n"),
+    ("api/load.py", "x = eval(text)\ny = yaml.load(f)\nz = yaml.load(f, Loader=L)\nw = pickle.loads(b)\nif type(x) == int:\n    f = open(p)\nif y is 'a':\n    os.system(c)\n# TODO: later\ntry:\n    a()\nexcept E:\n    pass\n"),
+    ("web/page.ts", "apiKey = \"abcdefghijkl\"\nel.innerHTML = x\ndb.query(`select ${x}`)\nk = process.env.NEXT_PUBLIC_SECRET_KEY\ntry { a() } catch (e) {}\n\t\t\t\t\t\t\tdeep()\n"),
+    ("web/page.test.ts", "it('x', () => {\n})\ntest('y', () => {\n  render(z)\n})\n"), ("go/a_test.go", "func TestA(t *testing.T) {\n}\nn := 86400\n"), ("go/a.go", "if true {\nn := 86400\n}\n"),
+]
+_CODE_LINES = "code(file, text) as (values " + ", ".join("('" + f + "', '" + t.replace("'", "''") + "')" for f, t in _CODE) + "), code_lines as (select file, unnest(range(1, 1 + len(string_split(text, chr(10))))) as n, unnest(string_split(text, chr(10))) as line from code)"
+#: The lines of documents and of the sources.
+_ALL_LINES = _LINES + ", " + _CODE_LINES + ", all_lines as (select cast(file as varchar) as file, n, line from lines union all select * from code_lines)"
+
+
+def code_lines(spark: SparkSession) -> DataFrame:
+    return lines_of(spark.createDataFrame(_CODE, "file string, text string"), "file", "text")
+
+
+def all_lines(spark: SparkSession, d: str) -> DataFrame:
+    return lines(spark, d).withColumn("file", F.col("file").cast("string")).unionByName(code_lines(spark))
+
+
 def lines(spark: SparkSession, d: str) -> DataFrame:
     return lines_of(_t(spark, d, "documents"), "doc_id", "text")
 
@@ -156,19 +181,35 @@ def jaccard(spark, d):
 # --- lines --------------------------------------------------------------------
 
 
-@query("line_rules", f"with {_LINES}, pages_lines as (select -1 - page_id as file, unnest(range(1, 1 + len(string_split(html, chr(10))))) as n, unnest(string_split(html, chr(10))) as line from pages), every as (select * from lines union all select * from pages_lines) " + " union all ".join(f"select file, cast(n as int) as n, '{r.category}' as category from every where {r.sql()}" for r in L.ALL))
+@query("line_rules", f"with {_ALL_LINES}, pages_lines as (select -1 - page_id as file, unnest(range(1, 1 + len(string_split(html, chr(10))))) as n, unnest(string_split(html, chr(10))) as line from pages), every as (select * from all_lines union all select cast(file as varchar), n, line from pages_lines) " + " union ".join(f"select file, cast(n as int) as n, '{r.category}' as category from every where {r.sql()}" for r in L.ALL))
 def line_rules(spark, d):
     pages = lines_of(_t(spark, d, "pages").select((-1 - F.col("page_id")).alias("page_id"), "html"), "page_id", "html")
-    return L.scan(lines(spark, d).union(pages), L.ALL)
+    return L.scan(all_lines(spark, d).union(pages.withColumn("file", F.col("file").cast("string"))), L.ALL)
+
+
+@query("file_rules")
+def file_rules(spark, d):
+    """Rules over several lines of documents and sources; tests hold them to known findings."""
+    every = all_lines(spark, d)
+    return reduce(DataFrame.union, [rule(every) for rule in (X.django_rules, X.fastapi_rules, X.empty_tests, X.tests_without_assertions, X.empty_except)])
+
+
+_NO_TESTS = _CODE_LINES + ", f as (select split_part(file, '/', 1) as pkg, split_part(file, '/', -1) as base from code union all select source, concat('doc', doc_id) from documents where source is not null)"
+
+
+@query("missing_tests", f"with {_NO_TESTS} select pkg, 'test/missing-tests' as category from f group by pkg having not bool_or(regexp_matches(base, '_test\\.go$|^test_|\\.test\\.|\\.spec\\.|_test\\.py'))")
+def missing_tests(spark, d):
+    own = spark.createDataFrame([(f.split("/")[0], f) for f, _ in _CODE], "pkg string, file string")
+    return X.packages_without_tests(own.union(_t(spark, d, "documents").where("source is not null").select("source", F.concat(F.lit("doc"), "doc_id"))))
 
 
 for _name, _least in (("high_entropy", 4.5), ("high_entropy_low_limit", 3.5)):
 
-    @query(_name, f"""with {_LINES}, s as (select file, cast(n as int) as n, unnest(regexp_extract_all(line, '["'']([A-Za-z0-9+/=_-]{{40,}})["'']', 1)) as string from lines),
+    @query(_name, f"""with {_ALL_LINES}, s as (select file, cast(n as int) as n, unnest(regexp_extract_all(line, '["'']([A-Za-z0-9+/=_-]{{40,}})["'']', 1)) as string from all_lines),
         c as (select *, unnest(string_split(string, '')) as ch, row_number() over () as r from s), k as (select file, n, string, r, ch, count(*) as m from c group by all)
         select file, n, string, round(sum(-(m / strlen(string)) * log2(m / strlen(string))), 6) as bits from k group by file, n, string, r having bits > {_least}""")
     def _high_entropy(spark, d, least=_least):
-        return L.high_entropy_strings(lines(spark, d), least).select("file", "n", "string", F.round("bits", 6).alias("bits"))
+        return L.high_entropy_strings(all_lines(spark, d), least).select("file", "n", "string", F.round("bits", 6).alias("bits"))
 
 
 @query("magic_numbers", f"""with {_LINES}, m as (select file, cast(n as int) as n, list_filter(regexp_extract_all(line, '\\b[0-9]{{3,}}\\b'), lambda x: x not in ({", ".join(repr(x) for x in L.ALLOWED_NUMBERS)})) as f
@@ -178,11 +219,11 @@ def magic_numbers(spark, d):
     return L.magic_numbers(lines(spark, d))
 
 
-@query("deep_nesting", f"""with {_LINES}, i as (select file, n, regexp_extract(line, '^[\\t ]*') as w from lines where trim(replace(line, chr(9), ' ')) <> ''),
+@query("deep_nesting", f"""with {_ALL_LINES}, i as (select file, n, regexp_extract(line, '^[\\t ]*') as w from all_lines where trim(replace(line, chr(9), ' ')) <> ''),
     x as (select file, n, len(replace(w, ' ', '')) + len(replace(w, chr(9), '')) // 4 as depth from i)
     select file, cast(arg_min(n, (-depth, n)) as int) as n, cast(max(depth) as int) as depth from x group by file having max(depth) > 0""")
 def deep_nesting(spark, d):
-    return L.deep_nesting(lines(spark, d), 0)
+    return L.deep_nesting(all_lines(spark, d), 0)
 
 
 @query("next_line", f"with {_LINES} select file, cast(n as int) as n, lead(line) over (partition by file order by n) as next from lines")
@@ -214,10 +255,10 @@ def blocks_lacking(spark, d):
     return Q.blocks_lacking(lines(spark, d), "^[A-Z]", "and")
 
 
-@query("finding_summary", f"""with {_LINES}, f as ({" union all ".join(f"select file, '{r.category}' as category from lines where {r.sql()}" for r in L.ALL)})
+@query("finding_summary", f"""with {_ALL_LINES}, f as ({" union ".join(f"select file, n, '{r.category}' as category from all_lines where {r.sql()}" for r in L.ALL)})
     select category, cast(0.3 as double) as confidence, 'low' as label, count(*) as n, count(distinct file) as files from f group by category""")
 def finding_summary(spark, d):
-    return C.summary(L.scan(lines(spark, d), L.ALL))
+    return C.summary(L.scan(all_lines(spark, d), L.ALL))
 
 
 # --- relations ----------------------------------------------------------------
@@ -266,11 +307,11 @@ def god_packages(spark, d):
     return R.god_packages(calls(spark, d), imports(spark, d), packages(spark, d), types)
 
 
-@query("dead_exports", f"with {_PARTS}, used as (select l_partkey from lineitem where l_linenumber = 2) select fq from parts where p_partkey not in (select l_partkey from used)")
+@query("dead_exports", "select concat('main.Doc', doc_id) as fq from documents where doc_id not in (select doc_id from labels)")
 def dead_exports(spark, d):
-    p = parts(spark, d)
-    used = _t(spark, d, "lineitem").where("l_linenumber = 2").select(F.col("l_partkey").alias("p_partkey")).distinct().join(p, "p_partkey").select(F.lit("main").alias("src"), F.col("fq").alias("dst"))
-    return R.dead_exports(p.select("fq"), used)
+    """Documents stand for exported functions, labels for calls of them."""
+    used = _t(spark, d, "labels").select(F.lit("main").alias("src"), F.concat(F.lit("main.Doc"), "doc_id").alias("dst"))
+    return R.dead_exports(_t(spark, d, "documents").select(F.concat(F.lit("main.Doc"), "doc_id").alias("fq")), used)
 
 
 @query("shared_items", """with m as (select distinct l_orderkey as id, l_partkey as item from lineitem)
@@ -459,13 +500,14 @@ def import_cycles(spark, d):
 _ENDS = "starts as (select concat('n', n_nationkey) as start from nation where n_regionkey = 0), sinks as (select concat('n', n_nationkey) as node from nation where n_regionkey = 3)"
 
 
+# the SQL lists walks, so it ends at 5 nodes; a sink that is farther away would show as a difference
 @query("trace", f"""with recursive {_NATIONS}, {_ENDS}, walk as (select start, start as node, [start] as chain from starts
         union all select start, dst, list_append(chain, dst) from walk join edges on node = src where len(chain) < 10 and not list_contains(chain, dst) and (len(chain) = 1 or node not in (select node from sinks)) and len(chain) < 5),
     best as (select start, node, chain, row_number() over (partition by start, node order by len(chain), chain) as r from walk where len(chain) > 1 and node in (select node from sinks))
     select start, node as sink, chain from best where r = 1""")
 def trace(spark, d):
     n = _t(spark, d, "nation").withColumn("node", F.concat(F.lit("n"), "n_nationkey"))
-    return G.trace(nation_edges(spark, d), n.where("n_regionkey = 0").select(F.col("node").alias("start")), n.where("n_regionkey = 3"), 5)
+    return G.trace(nation_edges(spark, d), n.where("n_regionkey = 0").select(F.col("node").alias("start")), n.where("n_regionkey = 3"), 10)
 
 
 @query("focus", f"""with recursive {_NATIONS}, both_ as (select src, dst from edges union select dst, src from edges),

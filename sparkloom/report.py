@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scalars import matches_filter
-from sparkloom.operators import entry_points, graph, line_rules, python_rules, relational, score
+from sparkloom.operators import entry_points, file_rules, graph, line_rules, python_rules, relational, score
 from sparkloom.sources.config import Config
 from sparkloom.sources.lines import lines_of
 from sparkloom.sources.python_source import Model
@@ -49,7 +49,9 @@ def analyze(model: Model, options: Options = Options()) -> dict[str, DataFrame]:
     if options.structure_only:
         return out
     lines = lines_of(model.files, "path", "text")
-    python = [python_rules.check(model, t), line_rules.scan(lines, line_rules.ALL)]
+    python = [python_rules.check(model, t), line_rules.scan(lines, line_rules.SECURITY + line_rules.QUALITY + line_rules.PYTHON), file_rules.empty_tests(lines), file_rules.tests_without_assertions(lines), file_rules.empty_except(lines)]
+    python += [file_rules.of_framework(found, imports, name) for name, found in (("django", line_rules.scan(lines, line_rules.DJANGO)), ("django", file_rules.django_rules(lines)), ("fastapi", line_rules.scan(lines, line_rules.FASTAPI)), ("fastapi", file_rules.fastapi_rules(lines)))]
+    python += [line_rules.magic_numbers(lines).withColumn("category", F.lit("quality/magic-number")), line_rules.deep_nesting(lines).withColumn("category", F.lit("quality/deep-nesting")), line_rules.high_entropy_strings(lines).withColumn("category", F.lit("security/hardcoded-secret"))]
     findings = reduce(DataFrame.union, [x.select("file", "n", "category") for x in python])
     if options.packages:
         files = model.rows.where(matches_filter(F.col("module"), options.packages)).select(F.col("path").alias("file"))
@@ -59,6 +61,13 @@ def analyze(model: Model, options: Options = Options()) -> dict[str, DataFrame]:
     out["feature_envy"] = relational.feature_envy(calls)
     out["shotgun_surgery"] = relational.shotgun_surgery(calls)
     out["middle_man"] = relational.middle_man(calls)
+    out["missing_tests"] = file_rules.packages_without_tests(model.rows.select(F.col("module").alias("pkg"), F.col("path").alias("file")))
+    out["god_packages"] = relational.god_packages(calls, imports, packages, model.types)
+    out["dead_exports"] = relational.dead_exports(model.functions.where(~F.col("name").startswith("_")).select("fq"), edges)
+    homes = graph.communities(edges).select("node", "community")
+    out["communities"] = homes
+    out["modularity"] = graph.modularity(edges, homes)
+    out["misplaced"] = graph.misplaced(homes, model.functions.select(F.col("fq").alias("node"), "pkg"))
     out["duplicates"] = relational.duplicated_sets(edges.select(F.col("src").alias("id"), F.col("dst").alias("item")), t.dup_callgraph_min_calls)
     out["entry_points"] = python_rules.entry_points(model)
     out["boundaries"] = relational.boundaries(imports.select(F.col("imp").alias("module"), "pkg"), entry_points.rules_of(entry_points.PYTHON_BOUNDARIES), ".")

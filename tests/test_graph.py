@@ -91,3 +91,11 @@ def test_connected_components(spark):
 def test_empty_graph(spark):
     e = spark.createDataFrame([], "src string, dst string")
     assert G.pagerank(e).count() == 0 and G.betweenness(e).count() == 0 and G.strong_components(e).count() == 0
+
+
+def test_communities_move_for_a_gain_above_zero_only(spark):
+    """Two hubs of degree 10 joined by one edge: the gain is below zero, so neither joins the other."""
+    text = " ".join([f"A>a{i}" for i in range(9)] + [f"B>b{i}" for i in range(9)] + ["A>B"])
+    got = as_map(G.communities(edges(spark, text)), "node", "community")
+    assert got["A"] != got["B"] and all(got[f"a{i}"] == got["A"] for i in range(9)) and all(got[f"b{i}"] == got["B"] for i in range(9))
+    assert as_map(G.communities(edges(spark, "A>A")), "node", "community") == {"A": "A"}

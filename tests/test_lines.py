@@ -1,5 +1,6 @@
 import pytest
 
+from sparkloom.operators import file_rules as X
 from sparkloom.operators import line_rules as L
 from sparkloom.operators import sequence as Q
 from sparkloom.sources.lines import lines_of
@@ -38,6 +39,43 @@ def test_quality(spark, text, want):
     assert found(spark, L.QUALITY, text) == want
 
 
+def test_file_gates(spark):
+    rows = [("a/test_x.py", "assert x"), ("a/x_test.go", 'password = "hunter22"'), ("b/views.py", "SECRET_KEY = 'x'"), ("b/settings.py", "SECRET_KEY = 'x'"), ("b/settings.py", "SECRET_KEY = os.getenv('x')"), ("b/x.py", "assert x"), ("c.py", "yaml.load(f)")]
+    frame = spark.createDataFrame([(f, i, t) for i, (f, t) in enumerate(rows)], "file string, n int, line string")
+    assert sorted((r["n"], r["category"]) for r in L.scan(frame, L.ALL).collect()) == [(3, "django/hardcoded-settings"), (5, "style/assert-in-production"), (6, "security/insecure-deserialization")]
+    numbers = spark.createDataFrame([("a_test.go", 1, "x = 86400"), ("a.go", 1, "x = 86400")], "file string, n int, line string")
+    assert [r["file"] for r in L.magic_numbers(numbers).collect()] == ["a.go"]
+
+
+def test_hints_hold_for_every_match():
+    """What a pattern can match holds one of the hints: the registered sources and a few more."""
+    import re
+
+    from sparkloom.queries import _CODE
+
+    seen = set()
+    for line in [x for _, t in _CODE for x in t.split("\n")] + ["exec(f'x')", "Bearer " + "a" * 20, "cursor.execute('a' +b)", "cors(origin='*')"]:
+        for r in L.ALL:
+            if r.hints and any(re.search(p, line) for p in r.any_of):
+                seen.add(r.category)
+                assert any(h in line.lower() for h in r.hints), (r.category, line)
+    assert len(seen) >= 14
+
+
+def test_rules_over_several_lines(spark):
+    from sparkloom import queries
+
+    every = queries.code_lines(spark)
+    got = sorted((r["category"], r["file"], r["n"]) for rule in (X.django_rules, X.fastapi_rules, X.empty_tests, X.tests_without_assertions, X.empty_except) for r in rule(every).collect())
+    assert got == [
+        ("django/all-without-pagination", "app/models.py", 14), ("django/fk-missing-on-delete", "app/models.py", 3), ("django/missing-meta-class", "app/models.py", 2), ("django/missing-str-method", "app/models.py", 2), ("django/n+1-in-loop", "app/models.py", 13),
+        ("fastapi/async-calling-sync", "api/main.py", 4), ("fastapi/missing-response-model", "api/main.py", 2), ("fastapi/missing-response-model", "api/main.py", 8), ("fastapi/missing-status-code", "api/main.py", 8), ("fastapi/no-api-router", "api/main.py", 1),
+        ("quality/empty-catch", "api/load.py", 12), ("test/empty-test", "app/test_views.py", 3), ("test/empty-test", "go/a_test.go", 1), ("test/empty-test", "web/page.test.ts", 1), ("test/no-assertions", "go/a_test.go", 1), ("test/no-assertions", "web/page.test.ts", 1),
+    ]
+    imports = spark.createDataFrame([("a", "django.db")], "pkg string, imp string")
+    assert X.of_framework(X.django_rules(every), imports, "django").count() == 5 and X.of_framework(X.fastapi_rules(every), imports, "fastapi").count() == 0
+
+
 def test_magic_numbers(spark):
     got = L.magic_numbers(lines(spark, "x = 86400\ny = 200\nconst z = 9999\nw = 42\nv = 0x1234\nu = 404 + 777"))
     assert [(r["n"], r["number"]) for r in got.orderBy("n").collect()] == [(1, "86400"), (6, "777")]
