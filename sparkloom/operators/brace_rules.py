@@ -66,16 +66,3 @@ def check_typescript(rows: DataFrame) -> DataFrame:
         table(rows, "flags").select(F.col("path").alias("file"), F.col("line").alias("n"), "category"),
     ]
     return reduce(DataFrame.union, out)
-
-
-def next_routes(files: DataFrame) -> DataFrame:
-    """``dir, category``: route folders of an ``app`` tree that lack their error, loading or not-found file. ``files``: ``path``.
-
-    ``missing-not-found`` and ``missing-global-error`` name the first folder alone.
-    """
-    rows = files.where(F.col("path").rlike("/app/.*\\.tsx?$")).select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", "/([^/.]*)[^/]*$", 1).alias("base"))
-    dirs = rows.groupBy("dir").agg(F.collect_set("base").alias("bases")).where(F.array_contains("bases", "page"))
-    out = [dirs.where(~F.array_contains("bases", b)).select("dir", F.lit(f"nextjs/{c}").alias("category")) for b, c in (("error", "missing-error-boundary"), ("loading", "missing-loading-ui"))]
-    whole = rows.agg(F.collect_set("base").alias("all"), F.min("dir").alias("dir")).where("dir is not null")
-    out += [whole.where(~F.array_contains("all", b)).select("dir", F.lit(f"nextjs/{c}").alias("category")) for b, c in (("not-found", "missing-not-found"), ("global-error", "missing-global-error"))]
-    return reduce(DataFrame.union, out)

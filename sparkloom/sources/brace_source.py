@@ -28,6 +28,9 @@ _TOKEN = re.compile(r"""(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<string>"(?:\\.|[^"\\
 _GO_WORDS = {"if", "for", "switch", "select", "return", "func", "go", "defer", "range", "case", "map", "chan", "struct", "interface", "else", "type", "var", "const"}
 _GO_BUILTINS = {"append", "cap", "clear", "close", "complex", "copy", "delete", "imag", "len", "make", "max", "min", "new", "panic", "print", "println", "real", "recover", "string", "int", "byte", "error", "float64", "int64", "bool"}
 _TS_WORDS = {"if", "for", "while", "switch", "catch", "return", "function", "typeof", "await", "new", "else", "do", "super", "constructor", "import", "async", "case", "in", "of", "throw", "delete", "void", "yield"}
+#: What changes the document by hand.
+DOM_METHODS = {"querySelector", "querySelectorAll", "getElementById", "getElementsByClassName", "getElementsByTagName", "createElement", "appendChild", "removeChild", "insertBefore"}
+DOM_PROPERTIES = {"innerHTML", "outerHTML", "innerText", "textContent"}
 
 Token = tuple[str, str, int]
 
@@ -397,13 +400,12 @@ def parse_ts(path: str, pkg: str, text: str | None) -> dict:
     bangs = [x for k, x in enumerate(ts) if x[1] == "!" and k and (ts[k - 1][0] == "word" or ts[k - 1][1] in ")]") and k + 1 < len(ts) and ts[k + 1][1] in ".);,"]
     if len(bangs) > 5:
         flag("style/non-null-assertion-overuse", bangs[0][2])
-    states = [x for k, x in enumerate(ts) if x[1] == "useState" and k + 1 < len(ts) and ts[k + 1][1] in "(<"]
-    if len(states) >= 5:
-        flag("react/too-many-usestate", states[0][2])
     for k, (kind, t, line) in enumerate(ts):
         if kind == "string" and re.match(r"[\"'`]https?://", t) and not re.search(r"localhost|127\.0\.0\.1|example\.com", t):
             flag("style/hardcoded-url", line)
-        if t == "document" and kind == "word" and k + 3 < len(ts) and ts[k + 1][1] == "." and ts[k + 3][1] == "(":
+        if t == "document" and kind == "word" and k + 2 < len(ts) and ts[k + 1][1] == "." and ts[k + 2][1] in DOM_METHODS:
+            flag("react/direct-dom", line)
+        if t in DOM_PROPERTIES and kind == "word" and k and k + 1 < len(ts) and ts[k - 1][1] == "." and ts[k + 1][1] == "=":
             flag("react/direct-dom", line)
         if t == "dangerouslySetInnerHTML" and kind == "word":
             flag("security/xss", line)

@@ -85,11 +85,6 @@ def test_typescript(spark):
     assert got == {"style/any-type", "style/missing-return-type", "naming/interface-prefix", "perf/barrel-import", "style/enum-usage", "style/hardcoded-url", "react/direct-dom", "style/console-log"}
 
 
-def test_next_routes(spark):
-    files = spark.createDataFrame([("w/app/a/page.tsx",), ("w/app/a/error.tsx",), ("w/app/not-found.tsx",)], "path string")
-    assert sorted((r["dir"], r["category"]) for r in B.next_routes(files).collect()) == [("w/app", "nextjs/missing-global-error"), ("w/app/a", "nextjs/missing-loading-ui")]
-
-
 def test_design(spark):
     methods = spark.createDataFrame([("T", "Put"), ("T", "Get"), ("U", "Put"), ("U", "Put")], "type string, method string")
     wanted = spark.createDataFrame([("Saver", "Put"), ("Both", "Put"), ("Both", "Get")], "iface string, method string")
