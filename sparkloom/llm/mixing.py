@@ -8,10 +8,12 @@ gradient descent on the least squares of domain token totals,
 
 where T_d is the domain's expected total at rate 1; the cap is infinite where scarce
 domains are to be repeated until their totals match. In the metric that weighs
-documents by their tokens any step below 2 is safe: the matrix of the quadratic form
-has rows that sum to one. A step moves r_i by STEP sum_d p_id (s_d - t_d) / T_d, so an
-iteration is one aggregation of a written table to one row. Rates are recomputed
-from the steps since they were last written, which is after every ``WRITE`` steps.
+documents by their tokens a step of 1 is safe: the matrix of the quadratic form has
+rows that sum to one. A step moves a point by sum_d p_id (s_d - t_d) / T_d. Steps start
+ahead of the rates, carried on by their last move (Nesterov's momentum), and from the
+rates themselves where the last step made the loss larger. An iteration is one
+aggregation of a written table to one row. Rates are recomputed from the steps since
+they were last written, which is after every ``WRITE`` steps.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ PER_DOMAIN = 1500
 PLACES = 1 << 15
 #: Words of a text do not speak independently: n of them count as n HALF / (n + HALF), at every length alike.
 HALF = 400
-#: Length of a step, rounds after which a descent that still moves is an error, and the relative error of every total at which it ends.
-STEP, ROUNDS, TOLERANCE = 1.7, 400, 2e-3
-#: Totals that move by less than this part of the error allowed stand still.
-STILL = 1e-2
+#: Rounds after which a descent that still moves is an error, and the relative error of every total at which it ends.
+ROUNDS, TOLERANCE = 400, 2e-3
+#: Totals that move by less than this part of the error allowed, so many rounds on end, stand still.
+STILL, STILL_ROUNDS = 1e-2, 3
 #: Log prior of a domain without labels.
 NEVER = -1e9
 #: Steps between two writings of the rates.
@@ -115,13 +117,19 @@ def posteriors(documents: DataFrame, weights: DataFrame, priors: list[float], do
     return sums.select("_id", "_h", "tokens", *[(F.col(f"e_{k}") / total).alias(f"p_{k}") for k in range(len(domains))])
 
 
-def rate(steps: list[list[float]], cap: float) -> Column:
-    """The rate after these steps, from the rate that was written last."""
-    r = F.col("rate")
-    for step in steps:
-        move = sum((F.col(f"p_{k}") * F.lit(x) for k, x in enumerate(step)), F.lit(0.0))
-        r = F.least(F.lit(cap), F.greatest(F.lit(0.0), r - move))
-    return r
+def walk(steps: list[tuple[list[float], float, bool]], cap: float) -> Column:
+    """``rate`` and the point ``ahead`` of it after these steps, from those that were written last.
+
+    A step is a move of each domain, the momentum after it, and whether it starts from the rate.
+    """
+    moves = F.array(*[F.struct(*[F.lit(float(x)).alias(f"m_{k}") for k, x in enumerate(move)], F.lit(float(beta)).alias("beta"), F.lit(fresh).alias("fresh")) for move, beta, fresh in steps])
+
+    def step(s: Column, x: Column) -> Column:
+        start = F.when(x["fresh"], s["rate"]).otherwise(s["ahead"])
+        to = F.least(F.lit(cap), F.greatest(F.lit(0.0), start - sum((F.col(f"p_{k}") * x[f"m_{k}"] for k in range(len(steps[0][0]))), F.lit(0.0))))
+        return F.struct(to.alias("rate"), (to + x["beta"] * (to - s["rate"])).alias("ahead"))
+
+    return F.aggregate(moves, F.struct("rate", "ahead"), step)
 
 
 def fit_rates(members: DataFrame, targets: list[float], cap: float, budget: float | None = None, anchor: int | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float], list[float]]:
@@ -138,37 +146,45 @@ def fit_rates(members: DataFrame, targets: list[float], cap: float, budget: floa
     if whole <= 0 or min(targets) < 0:
         raise ValueError("target weights are not negative and not all zero")
 
-    def totals(rows: DataFrame) -> list[float]:
-        row = rows.agg(*[F.sum(F.col("tokens") * F.col(f"p_{k}") * F.col("rate")).alias(f"s{k}") for k in range(n)]).first()
-        return [float(x or 0.0) for x in row]
+    def totals(rows: DataFrame) -> tuple[list[float], list[float]]:
+        row = rows.agg(*[F.sum(F.col("tokens") * F.col(f"p_{k}") * F.col(at)).alias(f"{at}_{k}") for at in ("rate", "ahead") for k in range(n)]).first()
+        sums = [float(x or 0.0) for x in row]
+        return sums[:n], sums[n:]
 
     share = [t / whole for t in targets]
-    written = members.withColumn("rate", F.lit(1.0))
-    now = base = totals(written)
+    written = members.withColumn("rate", F.lit(1.0)).withColumn("ahead", F.lit(1.0))
+    now, ahead = totals(written)
+    base = now
     if budget is None and anchor is not None:
         budget = base[anchor] / share[anchor]
     elif budget is None:
         budget = min((b / w for b, w in zip(base, share, strict=True) if w > 0), default=0.0)
     wanted = [budget * w for w in share]
     scale = [tolerance * max(t, 1e-3 * budget) for t in wanted]
-    rows, steps, before = written, [], None
-    for _ in range(rounds):
+    rows, steps, before, loss, still, momentum = written, [], None, math.inf, 0, 1.0
+    for k in range(rounds):
         gap = [s - t for s, t in zip(now, wanted, strict=True)]
         # a domain without tokens has no rate that could reach its target
         if all(b <= 0 or abs(g) <= e for g, b, e in zip(gap, base, scale, strict=True)):
             break
-        if before is not None and all(abs(s - x) <= STILL * e for s, x, e in zip(now, before, scale, strict=True)):
+        still = still + 1 if before is not None and all(abs(s - x) <= STILL * e for s, x, e in zip(now, before, scale, strict=True)) else 0
+        if still >= STILL_ROUNDS:
             break
+        last, loss = loss, sum(g * g / b for g, b in zip(gap, base, strict=True) if b > 0)
+        fresh = loss > last
+        momentum, old = (1 + math.sqrt(1 + 4 * (1.0 if fresh else momentum) ** 2)) / 2, 1.0 if fresh else momentum
+        start = now if fresh else ahead
+        steps.append(([(s - t) / b if b > 0 else 0.0 for s, t, b in zip(start, wanted, base, strict=True)], (old - 1) / momentum, fresh))
         before = now
-        steps.append([STEP * g / b if b > 0 else 0.0 for g, b in zip(gap, base, strict=True)])
-        rows = written.withColumn("rate", rate(steps, cap))
+        rows = written.withColumn("_to", walk(steps, cap)).withColumn("rate", F.col("_to.rate")).withColumn("ahead", F.col("_to.ahead")).drop("_to")
         if len(steps) == WRITE:
             rows = written = materialize(rows, "mixing-rates")
             steps = []
-        now = totals(rows)
+        now, ahead = totals(rows)
     else:
         raise RuntimeError(f"mixing: totals {now} still move after {rounds} steps towards {wanted}")
-    return rows, now, wanted
+    _log.info("mixing: totals %s after %d steps towards %s", now, k, wanted)
+    return rows.drop("ahead"), now, wanted
 
 
 def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], cap: float = 1.0, budget: float | None = None, anchor: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
