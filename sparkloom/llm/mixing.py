@@ -28,12 +28,13 @@ from sparkloom.llm.skew import unused
 from sparkloom.plans.tables import drop_shuffles, materialize
 
 #: Labelled documents of each domain that the classifier is fitted on, on average; twice as many in all at most.
-PER_DOMAIN = 1500
+PER_DOMAIN = 5000
 #: Places that words are hashed to, each held by its most frequent word: the rows of the table of weights, hence a bound of what is broadcast.
 #: More places let rarer words speak, which takes more good text for bad (README).
 PLACES = 1 << 15
-#: Words of a text do not speak independently: n of them count as n HALF / (n + HALF), at every length alike.
-HALF = 400
+#: Words of a text do not speak independently: n of them count as n HALF / (n + HALF), at every length alike,
+#: in learning as in prediction. No labelled text outweighs HALF words, however long it is.
+HALF = 200
 #: Rounds after which a descent that still moves is an error, and the relative error of every total at which it ends.
 ROUNDS, TOLERANCE = 400, 2e-3
 #: Totals that move by less than this part of the error allowed, so many rounds on end, stand still.
@@ -76,7 +77,7 @@ def classifier(documents: DataFrame, labelled: DataFrame, domains: tuple[str, ..
     """Word weights ``word, w_0, w_1, ...`` (at most ``PLACES`` rows) from ``labelled`` (id, ``domain``), and log priors.
 
     Weights are log-likelihood ratios against the mean over domains, with one added to
-    counts; every domain has the same say in them, however many labels it has. Priors
+    counts, to which each word of a text of n adds HALF / (n + HALF); every domain has the same say in them, however many labels it has. Priors
     are the shares of all labels, and a domain without a label is never predicted.
     Without labelled documents there are no weights and posteriors are equal.
     """
@@ -89,8 +90,9 @@ def classifier(documents: DataFrame, labelled: DataFrame, domains: tuple[str, ..
     # at most twice the documented number of rows, hence broadcast
     sample = known.withColumn("_h", h).where(F.col("_h") < share * float(1 << 30)).orderBy("_h", "_id", "domain").limit(2 * per_domain * len(domains)).select("_id", "domain")
     rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    words = rows.select("domain", F.explode(_tokens(F.col("_text"))).alias("run")).select("domain", _word(F.col("run")).alias("word"))
-    seen = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("domain") == d, 1)).alias(f"n_{k}") for k, d in enumerate(domains)])
+    runs = rows.select("domain", _tokens(F.col("_text")).alias("_runs")).withColumn("say", F.lit(float(HALF)) / (F.size("_runs") + HALF))
+    words = runs.select("domain", "say", F.explode("_runs").alias("run")).select("domain", "say", _word(F.col("run")).alias("word"))
+    seen = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col("domain") == d, F.col("say")).otherwise(0.0)).alias(f"n_{k}") for k, d in enumerate(domains)])
     held = seen.groupBy(F.pmod("word", F.lit(PLACES)).alias("place")).agg(F.max(F.struct("n", "word", *[f"n_{k}" for k in range(len(domains))])).alias("m"))
     top = materialize(held.select("m.*"), "mixing-words")
     sums = top.agg(*[F.sum(f"n_{k}") for k in range(len(domains))], F.count(F.lit(1))).first()

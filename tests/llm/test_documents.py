@@ -354,8 +354,9 @@ def test_posteriors_against_brute_force(spark):
     counts = {d: {} for d in domains}
     text = dict(rows)
     for i, d in labels:
-        for p in places(text[i]):
-            counts[d][p] = counts[d].get(p, 0) + 1
+        at = places(text[i])
+        for p in at:
+            counts[d][p] = counts[d].get(p, 0) + mixing.HALF / (len(at) + mixing.HALF)
     seen = set(counts["good"]) | set(counts["poor"])
     assert len({p % mixing.PLACES for p in seen}) == len(seen)
     logs = {p: [np.log((counts[d].get(p, 0) + 1) / (sum(counts[d].values()) + len(seen) + 1)) for d in domains] for p in seen}
@@ -370,6 +371,16 @@ def test_posteriors_against_brute_force(spark):
         assert x["tokens"] == len(at) and x["p_0"] == pytest.approx(p[0] / p.sum(), abs=1e-9)
 
 
+def test_a_long_labelled_text_does_not_decide(spark):
+    """One long toxic text about trees, against many short good ones, leaves trees good."""
+    rows = [(i, "old oak trees near quiet rivers" if i % 2 else "vile scum of hate") for i in range(60)]
+    rows += [(100, "oak trees rivers " * 20_000), (101, "quiet rivers near old trees")]
+    labels = [(i, "good" if i % 2 else "toxic") for i in range(60)] + [(100, "toxic")]
+    frame, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, domain string")
+    got = {r["_id"]: r["p_0"] for r in mixing.posteriors(frame, *mixing.classifier(frame, known, ("good", "toxic")), ("good", "toxic")).collect()}
+    assert got[101] > 0.5 and got[0] < 0.5
+
+
 def test_texts_of_megabytes(spark):
     rows = [(1, "quick fox, " * 300_000, "en", "a"), (2, "quick  fox,\n" * 300_000, "en", "a"), (3, "x" * 3_000_000, "en", "a"), (4, "", None, None), (5, "der alte fuchs schläft", "de", "b")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
