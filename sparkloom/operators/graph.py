@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,12 +77,64 @@ def hotspots(edges: DataFrame, top: int = 20) -> DataFrame:
     return rows.select("node", F.round("rank", 4).alias("rank"), "blast").orderBy(F.desc("rank"), "node").limit(top)
 
 
+def _trimmed(links: DataFrame) -> DataFrame:
+    """Written ``links`` without those of nodes that nothing enters or leaves, again and again; deletes what it was given."""
+    left = links.count()
+    while left:
+        entered, leaving = links.select(F.col("dst").alias("src")).distinct(), links.select(F.col("src").alias("dst")).distinct()
+        new = materialize(links.join(entered, "src", "left_semi").join(leaving, "dst", "left_semi").select("src", "dst"), "scc-links")
+        discard(links)
+        links, before, left = new, left, new.count()
+        if left == before:
+            break
+    return links
+
+
 def strong_components(edges: DataFrame, closure: DataFrame | None = None) -> DataFrame:
-    """``node, component``: the smallest node that reaches it and is reached by it, itself included."""
-    reach = (reachable(edges) if closure is None else closure).select("start", "node")
-    back = reach.select(F.col("node").alias("start"), F.col("start").alias("node"))
-    mutual = reach.join(back, ["start", "node"]).groupBy(F.col("start").alias("node")).agg(F.min("node").alias("m"))
-    return nodes_of(edges).join(mutual, "node", "left").select("node", F.least("node", F.coalesce("m", "node")).alias("component"))
+    """``node, component``: the smallest node that reaches it and is reached by it, itself included.
+
+    Without a ``closure`` no pairs of nodes are listed: each node takes the smallest label of
+    those that reach it; the nodes that reach the owner of their label are its component.
+    They are taken out, links between labels dropped, and the rest goes on with other labels.
+    """
+    if closure is not None:
+        reach = closure.select("start", "node")
+        back = reach.select(F.col("node").alias("start"), F.col("start").alias("node"))
+        mutual = reach.join(back, ["start", "node"]).groupBy(F.col("start").alias("node")).agg(F.min("node").alias("m"))
+        return nodes_of(edges).join(mutual, "node", "left").select("node", F.least("node", F.coalesce("m", "node")).alias("component"))
+    named = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "scc-named")
+    ids = materialize(nodes_of(named).withColumn("id", F.monotonically_increasing_id()), "scc-ids")
+    a, b = ids.select(F.col("node").alias("src"), F.col("id").alias("i")), ids.select(F.col("node").alias("dst"), F.col("id").alias("j"))
+    links = materialize(named.join(a, "src").join(b, "dst").select(F.col("i").alias("src"), F.col("j").alias("dst")), "scc-links")
+    discard(named)
+    members, turn = ids.select("id", F.lit(-1).alias("turn"), F.col("id").alias("label")).limit(0), 0
+    while not (links := _trimmed(links)).isEmpty():
+        # xxhash64 maps numbers one to one, so labels are distinct; other ones each turn, so that no order of the nodes takes many turns
+        own = F.xxhash64("id", F.lit(turn))
+        labels = materialize(links.select(F.col("src").alias("id")).distinct().select("id", own.alias("label")), "scc-labels")
+        while True:
+            step = links.join(labels, links.src == labels.id).groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("low"))
+            new = materialize(labels.join(step, "id").select("id", F.least("label", "low").alias("label"), (F.col("low") < F.col("label")).alias("moved")), "scc-labels")
+            discard(labels)
+            labels = new.select("id", "label")
+            if new.where("moved").isEmpty():
+                break
+        x, y = labels.select(F.col("id").alias("src"), F.col("label").alias("k")), labels.select(F.col("id").alias("dst"), F.col("label").alias("l"))
+        inner = materialize(links.join(x, "src").join(y, "dst").where("k = l").select("src", "dst"), "scc-links")
+        discard(links)
+        front = seen = materialize(labels.where(F.col("label") == own), "scc-front")
+        while not front.isEmpty():
+            step = inner.join(front, inner.dst == front.id).select(F.col("src").alias("id"), "label").distinct()
+            front = materialize(step.join(seen, "id", "left_anti"), "scc-front")
+            seen = seen.union(front)
+        members = members.union(seen.select("id", F.lit(turn), "label"))
+        out = seen.select("id")
+        links = materialize(inner.join(out.withColumnRenamed("id", "src"), "src", "left_anti").join(out.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "scc-links")
+        discard(inner, new)
+        turn += 1
+    rows = materialize(members.join(ids, "id").select("node", "turn", "label"), "scc-members")
+    low = rows.groupBy("turn", "label").agg(F.min("node").alias("component"))
+    return nodes_of(edges).join(rows.join(low, ["turn", "label"]).select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def clusters(edges: DataFrame, components: DataFrame, top: int = 10) -> DataFrame:
@@ -245,36 +300,73 @@ def misplaced(membership: DataFrame, packages: DataFrame, least: int = 3) -> Dat
     return out.where((F.col("pkg") != F.col("suggested")) & (F.col("there") > F.col("here")) & (F.col("there") >= least)).select("node", "pkg", "suggested", "here", "there")
 
 
-def import_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
-    """``chain``: one closed chain per back edge of a depth-first search in name order, within components of the graph."""
+def import_cycles(edges: DataFrame, components: DataFrame, piece: int = 1_000_000, part: int = 4_000_000) -> DataFrame:
+    """``chain``: one closed chain per back edge of a depth-first search in name order, within components of the graph.
+
+    The search is sequential, one task per component. It writes, for each node with back
+    edges, its path and where on it they end, in rows whose chains have up to ``piece``
+    names together (or one chain); the chains, far longer than the graph, are made from
+    these rows in as many tasks as give each about ``part`` names.
+    """
     a, b = components.select(F.col("node").alias("src"), F.col("component").alias("c")), components.select(F.col("node").alias("dst"), F.col("component").alias("d"))
     inner = edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").where("c = d").select("c", "src", "dst")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[str]] = {}
-        for s, d in sorted(zip(group["src"], group["dst"], strict=True)):
-            near.setdefault(s, []).append(d)
-        state, chains = {}, []
-        for root in sorted(near):
-            if root in state:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([x.select(["src", "dst"]) for x in batches])
+        names = pa.array(sorted(pc.unique(table["src"]).to_pylist()), table.schema.field("src").type)  # in a cycle all are sources
+        src, dst = (pc.index_in(table[x], value_set=names).to_numpy() for x in ("src", "dst"))
+        order = np.lexsort((dst, src))
+        near, stop = dst[order].tolist(), np.cumsum(np.bincount(src, minlength=len(names))).tolist()
+        todo = [0, *stop[:-1]]
+        place = [-1] * len(names)  # on the path; -1 before, -2 after
+        paths: list[int] = []
+        path_at, ends, end_at = [0], [], [0]
+
+        def rows() -> pa.RecordBatch:
+            lists = (pa.array(x, pa.int32()) for x in (path_at, paths, end_at, ends))
+            p, q, e, f = lists
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(p, names.take(q)), pa.ListArray.from_arrays(e, f)], ["path", "ends"])
+
+        for root in range(len(names)):
+            if place[root] != -1:
                 continue
-            path, todo = [root], [iter(near[root])]
-            state[root] = 1
-            while todo:
-                for v in todo[-1]:
-                    if state.get(v) == 1:
-                        chains.append([*path[path.index(v) :], v])
-                    elif v not in state:
-                        state[v] = 1
+            path, back = [root], [[]]
+            place[root] = 0
+            while path:
+                u = path[-1]
+                for k in range(todo[u], stop[u]):
+                    v = near[k]
+                    if place[v] >= 0:
+                        back[-1].append(place[v])
+                    elif place[v] == -1:
+                        todo[u], place[v] = k + 1, len(path)
                         path.append(v)
-                        todo.append(iter(near.get(v, ())))
+                        back.append([])
                         break
                 else:
-                    state[path.pop()] = 2
-                    todo.pop()
-        return pd.DataFrame({"chain": chains})
-
-    return inner.groupBy("c").applyInPandas(run, "chain array<string>")
+                    hits, size = sorted(back.pop()), 0
+                    for k, at in enumerate(hits):
+                        long = len(path) - at + 1
+                        if k == 0 or size + long > piece:
+                            if k:
+                                end_at.append(len(ends))
+                            if len(paths) + len(ends) > piece:
+                                yield rows()
+                                paths, path_at, ends, end_at = [], [0], [], [0]
+                            first, size = at, 0
+                            paths += path[at:]
+                            path_at.append(len(paths))
+                        ends.append(at - first)
+                        size += long
+                    if hits:
+                        end_at.append(len(ends))
+                    place[path.pop()] = -2
+        yield rows()
+
+    paths = materialize(inner.groupBy("c").applyInArrow(run, "path array<string>, ends array<int>"), "cycle-paths")
+    total = paths.agg(F.sum(F.aggregate("ends", F.lit(0).cast("long"), lambda n, k: n + F.size("path") - k + 1))).first()[0] or 0
+    ends = paths.repartition(1 + total // part).select("path", F.explode("ends").alias("k"))
+    return ends.select(F.concat(F.slice("path", F.col("k") + 1, F.size("path") - F.col("k")), F.array(F.get("path", F.col("k")))).alias("chain"))
 
 
 def trace(edges: DataFrame, starts: DataFrame, sinks: DataFrame, max_nodes: int = 10) -> DataFrame:

@@ -91,12 +91,16 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "part").select("p_partkey", pkg.alias("pkg"), F.concat(pkg, F.lit(".P"), "p_partkey").alias("fq"), "p_type", "p_name", "p_retailprice")
 
 
+def steps(spark: SparkSession, d: str) -> DataFrame:
+    """``a, b``: each part that another one follows on the next line of an order."""
+    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    return _t(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(by).alias("b")).where("a <> b")
+
+
 def calls(spark: SparkSession, d: str) -> DataFrame:
     """Distinct ``src, dst``; packages are looked up by the operators' own join."""
-    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    steps = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(by).alias("b")).where("a <> b").distinct()
     p = parts(spark, d)
-    rows = steps.join(p.select(F.col("p_partkey").alias("a"), F.col("fq").alias("src")), "a").join(p.select(F.col("p_partkey").alias("b"), F.col("fq").alias("dst")), "b")
+    rows = steps(spark, d).distinct().join(p.select(F.col("p_partkey").alias("a"), F.col("fq").alias("src")), "a").join(p.select(F.col("p_partkey").alias("b"), F.col("fq").alias("dst")), "b")
     return R.with_packages(rows.select("src", "dst"), p.select("fq", "pkg"))
 
 
@@ -109,8 +113,10 @@ def imports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def import_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Every import of one package by another; no other row is left out."""
-    return materialize(imports(spark, d).where("pkg <> imp").select(F.col("pkg").alias("src"), F.col("imp").alias("dst")), "imports")
+    """Every import of one package by another, as of ``imports``; no other row is left out."""
+    p = parts(spark, d)
+    rows = steps(spark, d).join(p.select(F.col("p_partkey").alias("a"), F.col("pkg").alias("src")), "a").join(p.select(F.col("p_partkey").alias("b"), F.col("pkg").alias("dst")), "b")
+    return materialize(rows.where("src <> dst").select("src", "dst").distinct(), "imports")
 
 
 def nation_edges(spark: SparkSession, d: str) -> DataFrame:

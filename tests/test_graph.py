@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from sparkloom.operators import graph as G
@@ -99,3 +101,76 @@ def test_communities_move_for_a_gain_above_zero_only(spark):
     got = as_map(G.communities(edges(spark, text)), "node", "community")
     assert got["A"] != got["B"] and all(got[f"a{i}"] == got["A"] for i in range(9)) and all(got[f"b{i}"] == got["B"] for i in range(9))
     assert as_map(G.communities(edges(spark, "A>A")), "node", "community") == {"A": "A"}
+
+
+def reached(near, s):
+    todo, seen = [s], set()
+    for v in todo:
+        new = [w for w in near[v] if w not in seen]
+        seen.update(new)
+        todo += new
+    return seen
+
+
+def back_edge_chains(near, inside):
+    """Chains of the back edges of a plain search in name order that stays ``inside`` a component."""
+    chains, path, done = [], [], set()
+
+    def walk(u):
+        path.append(u)
+        for v in sorted(near[u]):
+            if inside[v] == inside[u] and v in path:
+                chains.append((*path[path.index(v) :], v))
+            elif inside[v] == inside[u] and v not in done:
+                walk(v)
+        done.add(path.pop())
+
+    for u in sorted(near):
+        if u not in done:
+            walk(u)
+    return sorted(chains)
+
+
+@pytest.fixture(scope="module")
+def knots(spark):
+    """Components of 8, 5, 5 and 2 nodes in a row, a hub between 20 nodes on each side, and nodes that call themselves; edges, neighbours, components."""
+    r = random.Random(5)
+    pairs = [(f"k{i}", f"k{j}") for i in range(8) for j in range(8) if i != j and (j == (i + 1) % 8 or r.random() < 0.6)]
+    for x in "xy":
+        pairs += [(f"{x}{i}", f"{x}{(i + 1) % 5}") for i in range(5)] + [(f"{x}3", f"{x}1"), (f"{x}4", f"{x}4")]
+    for i in range(2):
+        pairs += [(f"p{i}a", f"p{i}b"), (f"p{i}b", f"p{i}a"), (f"p{i}b", f"p{i + 1}a")]
+    pairs += [("k3", "p0a"), ("p2a", "x0"), ("x2", "y3"), ("é", "é"), ("é", "k7")] + [e for i in range(20) for e in ((f"s{i}", "h"), ("h", f"t{i}"))]
+    near = {v: set() for e in pairs for v in e}
+    for a, b in pairs:
+        near[a].add(b)
+    to = {v: reached(near, v) for v in near}
+    return spark.createDataFrame(pairs + pairs[:9], "src string, dst string"), near, {v: min([w for w in to[v] if v in to[w]], default=v) for v in near}
+
+
+def test_strong_components_write_no_pairs(spark, knots, monkeypatch):
+    e, near, home = knots
+    written, write = [], G.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "materialize", counted)
+    assert as_map(G.strong_components(e), "node", "component") == home
+    assert max(written) <= sum(map(len, near.values()))
+
+
+@pytest.mark.parametrize("piece, part", [(1, 1), (40, 100), (1_000_000, 4_000_000)])
+def test_cycles_are_made_in_many_tasks(spark, knots, piece, part):
+    e, near, home = knots
+    df = G.import_cycles(e, spark.createDataFrame(list(home.items()), "node string, component string"), piece, part)
+    want = back_edge_chains(near, home)
+    assert sorted(tuple(r["chain"]) for r in df.collect()) == want
+    assert df.rdd.getNumPartitions() == 1 + sum(map(len, want)) // part
+
+
+def test_cycles_of_nothing(spark):
+    e = spark.createDataFrame([], "src string, dst string")
+    assert G.import_cycles(e, spark.createDataFrame([], "node string, component string")).count() == 0
