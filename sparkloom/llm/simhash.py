@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.arrow import small_batches
 from sparkloom.llm.skew import lookup, unused
 from sparkloom.operators.components import connected_components
-from sparkloom.plans.tables import discard, drop_shuffles, materialize
+from sparkloom.plans.tables import discard, drop_shuffles, materialize, packed
 
 SEED = 42
 #: Members that stand for a bucket: the smallest under this many orders.
@@ -100,29 +100,33 @@ def covering_links(points: DataFrame, radius: int) -> tuple[DataFrame, DataFrame
     """
     # keys are hashes: a clash makes a bucket larger and no link, for every link is verified
     posts = points.select("fp", F.explode(_under(masks(radius))).alias("key"))
+    size = points.count() * len(masks(radius))
     # lo and hi are equal in nearly all rows of this exchange, which compresses to about one key and one fingerprint
     seen = posts.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    seen = materialize(seen, "simhash-buckets")
+    seen = materialize(seen, "simhash-buckets", size)
     # every later step reads the members of buckets of three or more alone
-    crowd = materialize(posts.join(seen.where("n > 2").select("key"), "key"), "simhash-crowd")
+    crowd = materialize(posts.join(seen.where("n > 2").select("key"), "key"), "simhash-crowd", size)
+    size = crowd.count()
     rng = random.Random(11)
     orders = [0, -1] + [_signed(rng.getrandbits(64)) for _ in range(STANDS - 2)]
     stands = crowd.groupBy("key").agg(*[F.min(F.col("fp").bitwiseXOR(F.lit(o))).bitwiseXOR(F.lit(o)).alias(f"s{i}") for i, o in enumerate(orders)])
-    stands = materialize(stands, "simhash-stands")
+    stands = materialize(stands, "simhash-stands", size)
     pairs = crowd.join(stands, "key").select("fp", F.explode(F.array_distinct(F.array(*[f"s{i}" for i in range(STANDS)]))).alias("s"))
     pairs = pairs.union(seen.where("n = 2").select("lo", "hi"))
     near = pairs.where((F.col("fp") != F.col("s")) & (_distance("fp", "s") <= radius))
-    first = materialize(near.select(F.greatest("fp", "s").alias("src"), F.least("fp", "s").alias("dst")).distinct(), "simhash-links")
-    parts = materialize(connected_components(first), "simhash-parts")
+    first = materialize(near.select(F.greatest("fp", "s").alias("src"), F.least("fp", "s").alias("dst")).distinct(), "simhash-links", size + seen.count())
+    links = first.count()
+    parts = materialize(connected_components(first, rows=links), "simhash-parts", 2 * links)
     # members with their component so far; only buckets with several components matter any more
     member = crowd.join(parts.select(F.col("node").alias("fp"), F.col("component").alias("c")), "fp", "left").select("key", "fp", F.coalesce("c", "fp").alias("c"))
-    member = materialize(member, "simhash-members")
-    mixed = materialize(member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "simhash-mixed")
-    left = materialize(member.join(mixed, "key"), "simhash-left")
+    member = materialize(member, "simhash-members", size)
+    mixed = materialize(member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "simhash-mixed", size)
+    left = materialize(member.join(mixed, "key"), "simhash-left", size)
+    size = left.count()
     sizes = left.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    largest = materialize(sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("m")).select("key", F.col("m.c").alias("top")), "simhash-largest")
+    largest = materialize(sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("m")).select("key", F.col("m.c").alias("top")), "simhash-largest", size)
     split = left.withColumn("part", F.explode(_under(blocks(radius))))
-    outside = materialize(split.join(largest, "key").where("c <> top").select("key", "part", F.col("fp").alias("fp2"), F.col("c").alias("c2")), "simhash-outside")
+    outside = materialize(split.join(largest, "key").where("c <> top").select("key", "part", F.col("fp").alias("fp2"), F.col("c").alias("c2")), "simhash-outside", size * (radius + 1))
     close = outside.join(split, ["key", "part"]).where((F.col("c") != F.col("c2")) & (_distance("fp", "fp2") <= radius))
     second = materialize(close.select(F.greatest("c", "c2").alias("src"), F.least("c", "c2").alias("dst")).distinct(), "simhash-more")
     discard(seen, crowd, stands, member, mixed, left, largest, outside)
@@ -140,18 +144,21 @@ def near_duplicates(documents: DataFrame, radius: int = 4, words: int = 4, id_co
     null ``component_id``. An empty table gives an empty result.
     """
     rows = materialize(fingerprints(documents, words, id_col, text_col), "simhash-rows")
-    points = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "simhash-points")
+    size = rows.count()
+    # every point becomes a post in each table, which its file's task makes
+    points = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "simhash-points", size * len(masks(radius)))
     one, two = covering_links(points.select("fp"), radius)
-    whole = connected_components(one.union(two))
+    links = one.union(two)
+    whole = connected_components(links, rows=links.count())
     whole = points.join(whole.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
-    whole = materialize(whole, "simhash-roots")
-    roots = materialize(whole.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("fps")), "simhash-names")
+    whole = materialize(whole, "simhash-roots", size)
+    roots = materialize(whole.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("fps")), "simhash-names", size)
     total = roots.agg(F.sum("fps")).first()[0] or 0
     named = lookup(whole, roots, "root", "fps", total, "fp").select("fp", "n", "component_id")
-    named = materialize(named, "simhash-named")
+    named = materialize(named, "simhash-named", size)
     total = named.agg(F.sum("n")).first()[0] or 0
     discard(points, whole, roots)
-    found = lookup(rows, named, "fp", "n", total, "doc_id")
+    found = packed(lookup(rows, named, "fp", "n", total, "doc_id"), size)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

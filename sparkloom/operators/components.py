@@ -19,26 +19,28 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100, rows: int | None = None) -> DataFrame:
     """``(node, component)`` for every node of ``edges``; component = its smallest node.
 
     Edges are undirected and may repeat; self-loops give a component of one node.
     Rows with a null endpoint are ignored. An empty input gives an empty result.
+    ``rows`` is about how many edges there are at most, where that is known.
     """
     both = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a is not null and b is not null")
-    nodes = materialize(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-input")
+    nodes = materialize(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-input", rows)
     now = nodes.where("u <> v")
     seen, old = _digest(now), None
     for _ in range(max_rounds):
         if not seen[0]:
             break
+        size = 2 * seen[0]  # no table of a round has more rows
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-min")
-        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
-        low2 = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-min")
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-min", size)
+        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large", size)
+        low2 = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-min", size)
         # a node points at its minimum, and so do its other smaller neighbours
         moved = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = materialize(low2.select("u", F.col("m").alias("v")).union(moved).distinct(), "cc-edges")
+        new = materialize(low2.select("u", F.col("m").alias("v")).union(moved).distinct(), "cc-edges", size)
         discard(low, large, low2)
         if old is not None:
             discard(old)

@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Rows of an intermediate table that are worth a file.
+FILE_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,11 +37,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return a scan of it."""
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has about ``rows`` rows or fewer, in no more partitions than one for every ``FILE_ROWS`` of them.
+
+    Tables of many rows keep their partitions. Only the tasks after the last exchange are merged.
+    """
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return a scan of it.
+
+    ``rows`` is about how many it has at most, where that is known: a small table is
+    then written as a few files. Each file costs a task and, in Hadoop's local file
+    system, processes forked from the executor for its permissions.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else packed(df, rows)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sparkloom.llm import exact_dedup, language_id, license_scan, mixing, piece_bpe, queries, simhash, token_rollup
+from sparkloom.operators import components
+from sparkloom.plans import tables
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = "the quick brown fox jumps over lazy dogs while seven grey wolves sleep under old oak trees near quiet rivers".split()
@@ -184,6 +186,43 @@ def test_near_duplicates(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Whatever the number of shuffle partitions; their first round wrote one file for each of them."""
+    files = {}
+
+    def counted(df, name, *rows):
+        out = tables.materialize(df, name, *rows)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    monkeypatch.setattr(components, "materialize", counted)
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    r = random.Random(4)
+    texts = [" ".join(r.choice(WORDS) for _ in range(60)) for _ in range(30)]
+    rows = [(i, texts[i % 30] + f" w{i}" * (i // 30)) for i in range(120)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), radius=8).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    fps = [simhash.fingerprint(t, 4) for _, t in rows]
+    want = union_find(120, [(i, j) for i in range(120) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 8])
+    assert [got[i] for i in range(120)] == want and len(set(want)) < 120
+    own = {"simhash-rows", "simhash-more"}  # as many as the input has, and an unknown number
+    assert {"simhash-points", "simhash-buckets", "simhash-links", "cc-input", "cc-edges", "simhash-named"} <= files.keys()
+    assert max(n for name, n in files.items() if name not in own) == 1
+
+
+def test_large_tables_keep_their_partitions(spark):
+    df = spark.range(0, 80, 1, 8)
+    assert [tables.packed(df, n).rdd.getNumPartitions() for n in (0, 1, 100_000, 100_001, 799_999, 10**12)] == [1, 1, 1, 2, 8, 8]
+    assert sorted(x[0] for x in tables.packed(df, 80).collect()) == list(range(80))
+
+
 def test_language_id(spark, docs, empty):
     de = "der schnelle braune fuchs springt über den faulen hund und schläft unter der alten eiche".split()
     r = random.Random(2)
